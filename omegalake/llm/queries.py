@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_rules, simhash, token_shards
+from . import byte_bpe, license_scan, packing, quality_rules, simhash, token_shards
 from .common import fresh_path, table
 
 
@@ -23,6 +23,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -38,9 +42,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_line_first_rules": op6_line_first_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_first_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.ORACLE_SQL, "op6_line_first_rules": quality_rules.ORACLE_SQL}
