@@ -12,33 +12,38 @@ from __future__ import annotations
 import gc
 import os
 import re
-from operator import add
 
 import numpy as np
 
 #: Remembered units of one worker; on overflow the memory starts anew (a matter of speed only).
-MEMORY = 1 << 20
+MEMORY = 600_000
+
+#: Texts taken apart at once.
+TEXTS_A_STEP = 256
 
 #: Words given to the library in one string.
 WORDS_A_CALL = 256
 
 _SPACE_RUN = re.compile(r"\s\s")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Letters of the Latin blocks that stay one letter in lower case, then ASCII punctuation without the apostrophe.
-_LATIN = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
-_WORD = re.compile(f"( ?[{_LATIN}]+)([!-&(-/:-@\\[-`{{-~]*)")
+#: Where ASCII punctuation, the apostrophe apart, follows an ASCII letter.
+_AFTER_LETTER = re.compile(r"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]")
+#: Letters of the Latin blocks that stay one letter in lower case, with a leading space or not.
+_WORD = re.compile("( ?)[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
 
 
 def _word_units(text: str) -> list[str]:
     """This vocabulary lower-cases; doing so for ASCII first makes more units alike."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split(" ")
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return _AFTER_LETTER.sub(r" \g<0>", lower).split(" ")
 
 
 def _byte_units(text: str) -> list[str]:
-    if "\0" not in text and not _SPACE_RUN.search(text):
-        return text.replace(" ", "\0 ").split("\0")
-    first, *rest = _SINGLE_SPACE.split(text)
-    return [first, *[" " + x for x in rest]]
+    if "\0" in text:
+        first, *rest = _SINGLE_SPACE.split(text)
+        return [first, *[" " + x for x in rest]]
+    marked = _AFTER_LETTER.sub("\0\\g<0>", text)
+    return (_SINGLE_SPACE.sub("\0 ", marked) if _SPACE_RUN.search(text) else marked.replace(" ", "\0 ")).split("\0")
 
 
 class UnitEncoder:
@@ -84,23 +89,12 @@ class UnitEncoder:
             self._known.update((word, data[start:end]) for word, start, end in zip(some, bounds, bounds[1:]))
 
     def _learn(self, units: list[str]) -> None:
-        known = self._known
-        split, heads, tails, whole = [], [], [], set()
+        words, others = [], []
         for u in units:
             m = _WORD.fullmatch(u)
-            if m and (u[0] == " ") == self._keeps_spaces:
-                end = m.end(1)
-                if end < len(u):
-                    split.append(u)
-                    tails.append(u[end:])
-                heads.append(u[:end])
-            else:
-                whole.add(u)
-        self._together([w for w in set(heads) if w not in known])
-        whole.update(w for w in set(tails) if w not in known)
-        self._apart(list(whole))
-        get = known.__getitem__
-        known.update(zip(split, map(add, map(get, (u[: -len(t)] for u, t in zip(split, tails))), map(get, tails))))
+            (words if m and (m.end(1) > 0) == self._keeps_spaces else others).append(u)
+        self._together(words)
+        self._apart(others)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # nothing here makes cycles, and scanning the memory for some takes long

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import staged
-from .encoders import encoder
+from .encoders import TEXTS_A_STEP, encoder
 
 #: Parts into which the pieces of one length are dealt for ranking; with the lengths it bounds the rank table.
 SALTS = 256
@@ -147,8 +147,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 1024, key: str =
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary, keeps_spaces).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some, rows = batch.slice(at, 1000), []
+            for at in range(0, batch.num_rows, TEXTS_A_STEP):
+                some, rows = batch.slice(at, TEXTS_A_STEP), []
                 for k, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     data += end
                     n = len(data) // 4

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, packing, quality_rules, simhash, token_shards
+from . import byte_bpe, license_scan, packing, quality_net, quality_rules, simhash, token_shards
 from .common import fresh_path, table
 
 
@@ -18,6 +18,11 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shard_rows(token_shards.read_shards(spark, path)).withColumnRenamed("key", "doc_id")
 
 
+def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_net.score(docs, quality_net.fit_on_labels(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -41,6 +46,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_quality_net": op2_quality_net,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_line_first_rules": op6_line_first_rules,

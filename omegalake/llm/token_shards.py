@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .encoders import encoder
+from .encoders import TEXTS_A_STEP, encoder
 from .mphf import MinimalPerfectHash, fingerprints
 
 MAGIC = 0x31303053444E4B54
@@ -123,8 +123,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc
 
         id_bytes = 2 if encoder(vocabulary, keeps_spaces).size <= 1 << 16 else 4
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, TEXTS_A_STEP):
+                some = batch.slice(at, TEXTS_A_STEP)
                 for k, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     keys.append(k)
                     lists.append(ids + end)
