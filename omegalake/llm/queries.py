@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, packing, quality_net, quality_rules, simhash, token_shards
+from . import byte_bpe, hash_forest, license_scan, packing, quality_net, quality_rules, simhash, token_shards
 from .common import fresh_path, table
 
 
@@ -23,6 +23,11 @@ def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.score(docs, quality_net.fit_on_labels(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hash_forest.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -47,6 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_quality_net": op2_quality_net,
+    "op3_hash_forest": op3_hash_forest,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_line_first_rules": op6_line_first_rules,
