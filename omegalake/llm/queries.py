@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hash_forest, license_scan, packing, quality_net, quality_rules, quote_linking, simhash, token_shards
+from . import byte_bpe, hash_forest, html_extract, license_scan, packing, quality_net, quality_rules, quote_linking, simhash, token_shards
 from .common import fresh_path, table
 
 
@@ -49,6 +49,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.train())
+
+
 def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_linking.link_quotes(table(spark, sf_dir, "conversations"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_first_rules": op6_line_first_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_html_extract": op9_html_extract,
     "op10_quote_linking": op10_quote_linking,
 }
 
