@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ _HALVES = (range(BITS // 2), range(BITS // 2, BITS))
 _NEAR = np.array([0, *_ONE], np.uint64)
 _FAR = np.array([0, *_ONE, *((1 << i) | (1 << j) for half in _HALVES for i, j in combinations(half, 2))], np.uint64)
 #: Fingerprints whose variants are made at once.
-_AT_ONCE = 256
+_AT_ONCE = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -110,7 +111,9 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints of ``nodes.fp`` that connect all at most three bits apart."""
-    emitted = nodes.select("fp").mapInArrow(_variants, "v long, fp long")
+    # The variants are hundreds of times as many as the fingerprints, so these are spread first.
+    spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    emitted = spread.mapInArrow(_variants, "v long, fp long")
     met = emitted.repartition("v").sortWithinPartitions("v").mapInArrow(_stars, "a long, b long")
     return met.distinct()
 
@@ -165,5 +168,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, with its columns as they are: that with the smallest id.
+
+    Of rows that repeat an id one stays. Documents without id stay only where no member of
+    their group has one, and then one of them.
+    """
+    found = near_duplicates(docs, key, text)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    own = docs.join(first, docs[key] == first["_first"], "left_semi").dropDuplicates([key])
+    nameless = found.where("component_id is null").select("doc_id", "fp").distinct()
+    without = docs.where(F.col(key).isNull())
+    marked = without.withColumn("_fp", _fingerprint_of(text))
+    single = marked.join(nameless.select(F.col("fp").alias("_fp")), "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    return own.unionByName(single)
+
+
+def _fingerprint_of(text: str):
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    return hashed(F.col(text))
+
+
 def as_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
