@@ -158,6 +158,19 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     return net.fit([r["t"].encode() for r in sample], np.array([r["y"] for r in sample], float)) if sample else net
 
 
+def _scored(batches: Iterable[pa.RecordBatch], column: int, net: QualityNet) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows in slices of about AT_ONCE bytes of text, with their scores."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.binary())
+        group, size, at = [], 0, 0
+        for k in range(batch.num_rows):
+            group.append(texts[k].as_py() or b"")
+            size += len(group[-1])
+            if size >= AT_ONCE or k == batch.num_rows - 1:
+                yield batch.slice(at, len(group)), net.scores(group)
+                at, group, size = k + 1, [], 0
+
+
 def score(docs: DataFrame, net: QualityNet, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, from the whole text.
 
@@ -166,16 +179,19 @@ def score(docs: DataFrame, net: QualityNet, *, key: str = "doc_id", text: str =
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, group, size, at = batch.column(0), [], 0, 0
-            texts = batch.column(1).cast(pa.binary())
-            for k in range(batch.num_rows):
-                group.append(texts[k].as_py() or b"")
-                size += len(group[-1])
-                if size >= AT_ONCE or k == batch.num_rows - 1:
-                    found = net.scores(group)
-                    held = [x is not None and zlib.crc32(str(x).encode()) % FOLDS == HELD_OUT for x in keys.slice(at, len(group)).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, len(group)), pa.array(held), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-                    at, group, size = k + 1, [], 0
+        for some, found in _scored(batches, 1, net):
+            held = [x is not None and zlib.crc32(str(x).encode()) % FOLDS == HELD_OUT for x in some.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(held), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept_documents(docs: DataFrame, net: QualityNet, text: str = "text") -> DataFrame:
+    """The rows that score THRESHOLD or more, with their columns as they are."""
+    column = docs.columns.index(text)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, found in _scored(batches, column, net):
+            yield some.filter(pa.array(found >= THRESHOLD))
+
+    return docs.mapInArrow(rows, docs.schema)

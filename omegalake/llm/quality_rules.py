@@ -91,35 +91,53 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: key, the counts, ``base_failed``, ``kept`` and ``clean_text``.
+def _judged(docs: DataFrame, text: str, *carried: Column) -> DataFrame:
+    """``_row`` (a struct of the carried columns), what the rules find, and ``_n``.
 
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words are counts over the whole text.
-    base_failed: fewer than 50 words, or more than half of them in repeated windows. kept:
-    neither that nor too much text lost with failing lines. clean_text: the lines that passed.
-    Null text has no words and fails; rows with the same key each get a row.
+    ``_n`` is there so that a filter on the findings stays above the projection that makes
+    them: pushed below, it would split the text into words anew for every window.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias("doc_id"), t.alias("_text"), words_of(t).alias("_words"), F.filter(F.split(t, "\n"), lambda x: x.rlike(_VISIBLE)).alias("_lines"))
+    row = F.struct(*carried).alias("_row")
+    base = docs.select(row, t.alias("_text"), words_of(t).alias("_words"), F.filter(F.split(t, "\n"), lambda x: x.rlike(_VISIBLE)).alias("_lines"))
     counted = base.select(
-        "doc_id",
+        "_row",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_text", _SPACE, "")).cast("long").alias("word_chars"),
         _count(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
         F.filter("_lines", lambda x: ~line_fails(x)).alias("_passed"),
+        F.monotonically_increasing_id().alias("_n"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.aggregate("_passed", F.lit(0).cast("long"), lambda n, x: n + F.length(F.translate(x, _SPACE, "")))
     return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "_row", "_n", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (100 * left >= MIN_KEPT_PERCENT * F.col("word_chars"))).alias("kept"),
         F.array_join("_passed", "\n").alias("clean_text"),
     )
 
 
+def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: key, the counts, ``base_failed``, ``kept`` and ``clean_text``.
+
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words are counts over the whole text.
+    base_failed: fewer than 50 words, or more than half of them in repeated windows. kept:
+    neither that nor too much text lost with failing lines. clean_text: the lines that passed.
+    Null text has no words and fails; rows with the same key each get a row. No rows: no rows.
+    """
+    found = _judged(docs, text, F.col(key).alias("doc_id"))
+    return found.select("_row.doc_id", *(c for c in found.columns if c not in ("_row", "_n")))
+
+
+def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with their columns as they are (the whole text too)."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return _judged(docs, text, *own).where("kept and _n >= 0").select("_row.*")
+
+
 _BOILERPLATE_SQL = _BOILERPLATE_LINE.replace("'", "''")
 
 #: The same result in DuckDB SQL, without the cleaned text.
