@@ -1,0 +1 @@
+"""Spark-native analytics for natural-language-to-temporal-logic benchmarks."""
