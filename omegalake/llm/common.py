@@ -2,49 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
-OWN_SHARED_DIR = "file:///tmp/checkpoints"
-
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or OWN_SHARED_DIR).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back.
-
-    This cuts the lineage, keeps a Python stage from running twice and survives the loss of
-    any executor. The files are removed when the driver process ends.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..shared import fresh_path, shared_dir, staged
 
-@atexit.register
-def _remove_staged() -> None:
-    for spark, path in _staged:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session ended first; whoever owns the folder clears it
-            return
+__all__ = ["fresh_path", "shared_dir", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
