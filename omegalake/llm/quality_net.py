@@ -54,12 +54,15 @@ class QualityNet:
         data = b"".join(t.ljust(n * _CELL_BYTES, b"\0") for t, n in zip(texts, cells))
         return np.frombuffer(data + b"\0" * (WINDOW - STRIDE), np.uint8), np.concatenate([[0], np.cumsum(cells)])
 
-    def _answers(self, data: np.ndarray) -> np.ndarray:
-        """Filters' answers at every window, before the cut at zero. A text's last window ends in the next one's first bytes."""
+    def _answers(self, data: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Filters' answers at every window, before the cut at zero. A text's last window ends in padding."""
         steps = self.embedding[data].reshape(-1, STRIDE * EMBEDDED)
         # A window is two steps: each step meets both halves of the filters in one product.
         halves = steps @ np.concatenate([self.filters[: STRIDE * EMBEDDED], self.filters[STRIDE * EMBEDDED :]], axis=1)
-        return halves[:-1, :FILTERS] + halves[1:, FILTERS:] + self.bias
+        answers = halves[:-1, :FILTERS] + halves[1:, FILTERS:] + self.bias
+        last = cells[1:] * CELL - 1
+        answers[last] = halves[last, :FILTERS] + self.bias  # not the next text's first step
+        return answers
 
     @staticmethod
     def _chunks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ class QualityNet:
 
     def _pooled(self, texts: list[bytes]):
         data, cells = self._laid_out(texts)
-        answers = self._answers(data)
+        answers = self._answers(data, cells)
         by_cell = answers.reshape(-1, CELL, FILTERS).max(axis=1)
         spans, counts = self._chunks(cells)
         ends = np.append(spans.ravel(), 0)[:-1]
@@ -82,14 +85,14 @@ class QualityNet:
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
         top = np.maximum.reduceat(by_chunk, first, axis=0)
         mean = np.add.reduceat(by_chunk, first, axis=0) / counts[:, None].astype(np.float32)
-        return data, answers, spans, counts, by_chunk, np.concatenate([top, mean], axis=1)
+        return data, cells, answers, spans, counts, by_chunk, np.concatenate([top, mean], axis=1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         features = self._pooled(texts)[-1]
         return 1 / (1 + np.exp(-(features @ self.out + self.out_bias[0]).astype(np.float64)))
 
     def _gradients(self, texts: list[bytes], wanted: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        data, answers, spans, counts, by_chunk, features = self._pooled(texts)
+        data, cells, answers, spans, counts, by_chunk, features = self._pooled(texts)
         p = 1 / (1 + np.exp(-(features @ self.out + self.out_bias[0])))
         error = ((p - wanted) * weight / len(texts)).astype(np.float32)
         back = error[:, None] * self.out
@@ -108,6 +111,7 @@ class QualityNet:
         used = np.flatnonzero(g)
         rows, filters, g = rows[used], filters[used], g[used]
         letters = data[rows[:, None] * STRIDE + np.arange(WINDOW)]
+        letters[np.isin(rows, cells[1:] * CELL - 1), STRIDE:] = 0
         inputs = self.embedding[letters].reshape(len(rows), -1)
         d_filters = np.zeros_like(self.filters)
         for k in range(FILTERS):

@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 MAX_SYMBOL_PERCENT = 20
 #: A line with at least LEAST_SHOUTED words fails if this percentage of words has an exclamation or question mark.
 MAX_SHOUT_PERCENT, LEAST_SHOUTED = 50, 4
-#: A line with at least this many separators and one for every two words fails as navigation.
+#: A line with at least this many separators, standing for a third of its words, fails as navigation.
 LEAST_SEPARATORS = 4
 #: A document that keeps less than this percentage of its visible characters is rejected.
 MIN_KEPT_PERCENT = 50
@@ -86,7 +86,7 @@ def line_fails(line: Column) -> Column:
     return (
         (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * visible)
         | ((words >= LEAST_SHOUTED) & (100 * marked > MAX_SHOUT_PERCENT * words))
-        | ((separators >= LEAST_SEPARATORS) & (2 * separators >= words))
+        | ((separators >= LEAST_SEPARATORS) & (3 * separators >= words))
         | ((words <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike(_BOILERPLATE_LINE))
     )
 
@@ -165,7 +165,7 @@ judged AS (
       OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= {LEAST_SHOUTED}
           AND 100 * len(regexp_extract_all(x, '[!?][\x20\x09-\x0D]|[!?]$')) > {MAX_SHOUT_PERCENT} * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
       OR (length(x) - length(translate(x, '|»›•', '')) >= {LEAST_SEPARATORS}
-          AND 2 * (length(x) - length(translate(x, '|»›•', ''))) >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
+          AND 3 * (length(x) - length(translate(x, '|»›•', ''))) >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
       OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= {MAX_BOILERPLATE_WORDS} AND regexp_matches(lower(x), '{_BOILERPLATE_SQL}')))),
     lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')))), 0) AS kept_chars,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
