@@ -3,16 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..shared import fresh_path, shared_dir, staged
+from ..shared import arrow_rows, fresh_path, shared_dir, staged
 
-__all__ = ["fresh_path", "shared_dir", "staged", "table", "text_or_empty"]
+__all__ = ["arrow_rows", "fresh_path", "shared_dir", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))

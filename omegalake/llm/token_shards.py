@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import arrow_rows
 from .encoders import TEXTS_A_STEP, encoder
 from .mphf import MinimalPerfectHash, fingerprints
 
@@ -136,7 +137,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc
 
     source = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
     ordered = source.repartitionByRange("k", "row").sortWithinPartitions("k", "row").select("k", "t")
-    ordered.mapInArrow(blocks, SHARDS).write.mode("overwrite").parquet(path)
+    with arrow_rows(docs.sparkSession, TEXTS_A_STEP):
+        ordered.mapInArrow(blocks, SHARDS).write.mode("overwrite").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
