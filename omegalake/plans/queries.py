@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fm
-from ..functions import lex
+from ..functions import lex, providers
 from ..functions import text as tx
 from ..operators import keyed, rates, semantic, stats
 from . import corpora
@@ -370,10 +370,40 @@ def r_standardized(spark, d):
     return found.agg(F.abs(F.round(F.avg("x"), 6)).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("deviation"), F.round(F.min("x"), 6).alias("least"))
 
 
-@query()
+@query(f"""WITH {_VARIANTS} SELECT min(pos) AS pos, arg_min(f, (CASE WHEN (f = key) = (t NOT IN (7, 11)) THEN 0 ELSE 1 END) * 1000000000 + pos) AS LTL FROM v GROUP BY key""")
 def r_semantic_upsert(spark, d):
-    own = _with_variants(spark, d).select("pos", "id", "LTL")
-    return semantic.upsert(own.where("id < 100"), own.where("id >= 100"))
+    own = _with_variants(spark, d).select("pos", "LTL")
+    return semantic.upsert(own.where("pos < 100"), own.where("pos >= 100").withColumn("pos", F.col("pos") - 99))
+
+
+@query(f"WITH {_VARIANTS} SELECT DISTINCT f AS formula, arg_min(f, pos) OVER (PARTITION BY key) AS class_leader FROM v")
+def r_equivalence_classes(spark, d):
+    return semantic.classes(_with_variants(spark, d))
+
+
+@query("SELECT id, true AS plain, false AS broken FROM dataset")
+def r_validity(spark, d):
+    own = dataset(spark, d)
+    return own.select("id", fm.ltl_is_valid("LTL").alias("plain"), F.coalesce(fm.ltl_is_valid(F.concat("LTL", F.lit(" U"))), F.lit(False)).alias("broken"))
+
+
+@query()
+def r_automaton_size(spark, d):
+    own = dataset(spark, d).select("id", "LTL")
+    distinct = own.select("LTL").distinct().withColumn("graph", fm.ltl_automaton("LTL"))
+    return own.join(distinct, "LTL").select("id", "graph.states", "graph.transitions", (F.col("graph.states") + F.col("graph.transitions")).alias("size"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE event_type END AS answer FROM events")
+def r_provider_answers(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    word = F.to_json(F.struct(F.col("event_type").alias("text")))
+    response = F.concat(F.lit('{"candidates":[{"content":{"parts":['), word, F.lit("]}}]}"))
+    anthropic = F.concat(F.lit('{"content":['), word, F.lit("]}"))
+    chat = F.concat(F.lit('{"choices":[{"message":{"content":"'), "event_type", F.lit('"}}]}'))
+    kind = F.element_at(F.array(*map(F.lit, ("gemini", "anthropic", "mistral", "unknown"))), (F.col("event_id") % 4 + 1).cast("int"))
+    shown = F.when(kind == "gemini", response).when(kind == "anthropic", anthropic).otherwise(chat)
+    return events.select("event_id", providers.answer(kind, shown).alias("answer"))
 
 
 @query()

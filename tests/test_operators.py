@@ -130,3 +130,36 @@ def test_streamed_evaluation(spark, tmp_path):
     evaluate_stream(stream, replayed(answers), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     got = {r.record_id: (r.status, r.equivalent) for r in spark.read.parquet(str(tmp_path / "log")).collect()}
     assert got == {1: ("ok", True), 2: ("error", None)}
+
+
+def test_providers(spark):
+    from omegalake.functions import providers
+
+    rows = [
+        ("openai", '{"output_text":" F a "}', "F a"), ("openai", '{"output":[{"content":[{"type":"t","text":"F "},{"text":"b"}]},{}]}', "F b"), ("gemini", '{"candidates":[{"content":{"parts":[{"text":"G a"}]}}]}', "G a"),
+        ("anthropic", '{"content":[{"type":"text","text":"X a"}]}', "X a"), ("deepseek", '{"choices":[{"message":{"content":" a "}}]}', "a"), ("mistral", '{"choices":[{"message":{"content":[{"type":"text","text":"b"}]}}]}', "b"), ("other", "{}", None), ("gemini", "broken", None),
+    ]
+    df = spark.createDataFrame(rows, "provider string, response string, wanted string")
+    assert all(r.got == r.wanted for r in df.withColumn("got", providers.answer(F.col("provider"), F.col("response"))).collect())
+
+
+def test_asking_again(spark):
+    from omegalake.sources import translators
+
+    def factory():
+        tries = {}
+
+        def ask(sentence):
+            tries[sentence] = tries.get(sentence, 0) + 1
+            if sentence == "never":
+                raise translators.ServiceError(400, "bad")
+            if sentence == "busy" or tries[sentence] < 3:
+                raise translators.ServiceError(429)
+            return f"F {sentence} {tries[sentence]}"
+
+        return ask
+
+    df = spark.createDataFrame([("a",), ("never",), ("busy",), (None,)], "source_text string").coalesce(1)
+    got = {r.source_text: (r.raw_model_output, r.request_error) for r in translators.asked(df, factory, wait=lambda s: None).collect()}
+    assert got == {"a": ("F a 3", None), "never": (None, "400 bad"), "busy": (None, "429"), None: (None, "no text")}
+    assert list(translators.delays(4, 1, "x")) == list(translators.delays(4, 1, "x"))
