@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _SPACE = " \t\n\x0b\f\r"
 _SPACE_RUN = r"[\x20\x09-\x0D]+"
 _VISIBLE = r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
+_SYMBOL, _SEPARATOR = "[#*$%&|<>]", "[|»›•]"
 
 #: A line with more symbols than this percentage of its visible characters fails.
 MAX_SYMBOL_PERCENT = 20
@@ -49,8 +49,13 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def _visible(text: Column) -> Column:
+    """Characters that are no white space."""
+    return F.length(text) - _count(text, r"[\x20\x09-\x0D]")
 
 
 def words_of(text: Column) -> Column:
@@ -58,13 +63,17 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE_RUN))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a three-word window found at least twice; ``words`` must be a stored column.
+def window_hashes(words: Column) -> Column:
+    """The 64-bit hash of each three-word window; ``words`` must be a stored column."""
+    at = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+
 
-    Windows are compared by their 64-bit hash: sorted, equal ones are neighbours.
+def repeated_words(hashes: Column) -> Column:
+    """Words that lie in a window found at least twice; ``hashes`` (of all windows) must be a stored column.
+
+    Where all windows differ there are none; else the windows are sorted, so that equal ones are neighbours.
     """
-    at = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
 
     def starts(ordered: Column) -> Column:
         again = F.filter(ordered, lambda x, j: (F.get(ordered, j - 1)["h"] == x["h"]) | (F.get(ordered, j + 1)["h"] == x["h"]))
@@ -74,20 +83,26 @@ def repeated_words(words: Column) -> Column:
         each = F.transform(begin, lambda b, k: F.least(F.lit(3), F.coalesce(F.get(begin, k + 1) - b, F.lit(3))))
         return F.aggregate(each, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    return _let(F.sort_array(windows), lambda s: _let(starts(s), covered))
+    windows = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    found = _let(F.sort_array(windows), lambda s: _let(starts(s), covered))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(found)
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails one of the rules."""
-    visible = F.length(F.translate(line, _SPACE, ""))
-    words = F.size(F.split(F.btrim(line, F.lit(_SPACE)), _SPACE_RUN))
-    marked = F.regexp_count(line, F.lit(r"[!?][\x20\x09-\x0D]|[!?]$"))
-    separators = _count(line, "|»›•")
-    return (
-        (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * visible)
-        | ((words >= LEAST_SHOUTED) & (100 * marked > MAX_SHOUT_PERCENT * words))
-        | ((separators >= LEAST_SEPARATORS) & (3 * separators >= words))
-        | ((words <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike(_BOILERPLATE_LINE))
+    counts = F.struct(
+        _visible(line).alias("visible"),
+        _count(line, r"[^\x20\x09-\x0D]+").alias("words"),
+        _count(line, r"[!?](?:[\x20\x09-\x0D]|\z)").alias("marked"),
+        _count(line, _SEPARATOR).alias("separators"),
+        _count(line, _SYMBOL).alias("symbols"),
+    )
+    return _let(
+        counts,
+        lambda c: (100 * c["symbols"] > MAX_SYMBOL_PERCENT * c["visible"])
+        | ((c["words"] >= LEAST_SHOUTED) & (100 * c["marked"] > MAX_SHOUT_PERCENT * c["words"]))
+        | ((c["separators"] >= LEAST_SEPARATORS) & (3 * c["separators"] >= c["words"]))
+        | ((c["words"] <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike(_BOILERPLATE_LINE)),
     )
 
 
@@ -100,18 +115,19 @@ def _judged(docs: DataFrame, text: str, *carried: Column) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(*carried).alias("_row")
     base = docs.select(row, t.alias("_text"), words_of(t).alias("_words"), F.filter(F.split(t, "\n"), lambda x: x.rlike(_VISIBLE)).alias("_lines"))
-    counted = base.select(
+    hashed = base.withColumn("_windows", window_hashes(F.col("_words")))
+    counted = hashed.select(
         "_row",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", _SPACE, "")).cast("long").alias("word_chars"),
-        _count(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
+        _visible(F.col("_text")).cast("long").alias("word_chars"),
+        _count(F.col("_text"), _SYMBOL).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        repeated_words(F.col("_windows")).alias("n_repeat_words"),
         F.filter("_lines", lambda x: ~line_fails(x)).alias("_passed"),
         F.monotonically_increasing_id().alias("_n"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.aggregate("_passed", F.lit(0).cast("long"), lambda n, x: n + F.length(F.translate(x, _SPACE, "")))
+    left = F.aggregate("_passed", F.lit(0).cast("long"), lambda n, x: n + _visible(x))
     return counted.select(
         "_row", "_n", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
