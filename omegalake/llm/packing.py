@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import arrow_rows, staged
 from .encoders import TEXTS_A_STEP, encoder
 
-#: Parts into which the pieces of one length are dealt for ranking; with the lengths it bounds the rank table.
-SALTS = 256
+#: Pieces of one length that are ranked together; a frequent length is dealt into as many parts as that takes.
+RANKED_TOGETHER = 1000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -172,14 +172,17 @@ def pack(pieces: DataFrame, *, size: int = 1024) -> DataFrame:
     rows are separate pieces. The pieces must give the same rows each time they are read (a
     table, not a plan with random parts). No pieces: no rows.
     """
-    dealt = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    plan = Plan({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}, size)
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    # At most size x SALTS rows, whatever the corpus: small enough for every executor.
-    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(F.broadcast(bases), ["length", "_salt"])
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan = Plan(histogram, size)
+    parts_of = F.array(*(F.lit(-(-histogram.get(n, 1) // RANKED_TOGETHER)) for n in range(1, size + 1)))
+    row = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    dealt = pieces.withColumn("_part", F.pmod(row, F.element_at(parts_of, F.col("length").cast("int"))))
+    parts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "start", "ids_crc32")
+    # The pieces lie by (length, part) already, so the join moves only the few bases.
+    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["length", "_part"])
     ranked = ranked.select(*pieces.columns, (F.col("_base") + F.col("_rank")).alias("_rank"))
     width = len(pieces.columns)
 
@@ -197,4 +200,6 @@ def pack(pieces: DataFrame, *, size: int = 1024) -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """Cuts and packs documents; encoded once, the pieces are kept in the shared folder."""
     size = options.get("size", 1024)
-    return pack(staged(cut_pieces(docs, vocabulary, **options), "pieces"), size=size)
+    with arrow_rows(docs.sparkSession, TEXTS_A_STEP):
+        pieces = staged(cut_pieces(docs, vocabulary, **options), "pieces")
+    return pack(pieces, size=size)
