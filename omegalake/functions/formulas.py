@@ -188,3 +188,13 @@ def is_nnf(found: Column) -> Column:
         text = F.regexp_replace(text, r" [XFG] [pq] ", " q ")
         text = F.regexp_replace(text, r" \( [pq] (?:[&|U] [pq] )?\) ", " q ")
     return F.trim(text).isin("p", "q")
+
+
+def scanned_depth(found: Column, deepening: tuple[str, ...] = ("U", "W", "R", "M")) -> Column:
+    """``syntax.scanned_depth`` of an array of tokens."""
+
+    @F.pandas_udf(_I)
+    def of(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else syntax.scanned_depth(list(a), deepening) for a in arrays], dtype=object)
+
+    return of(found)

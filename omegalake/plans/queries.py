@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as fm
 from ..functions import lex, providers
 from ..functions import text as tx
-from ..operators import keyed, rates, semantic, stats
+from ..operators import edits, keyed, rates, semantic, stats
 from . import corpora
 from .benchmark import MODELS, case, dataset, oracle, results
 
@@ -488,6 +488,25 @@ def r_word_prefix(spark, d):
     return dataset(spark, d).select("id", fm.ltl_from_word_prefix(F.concat(F.lit("LTL: -> G "), "a", F.lit(" F ! "), "b")).alias("infix"))
 
 
+@query(f"SELECT id, CASE WHEN t IN (9, 10) THEN 0 ELSE {case('temporal_depth', quoted=False)} END AS until_only, {case('temporal_depth', quoted=False)} AS all_binary FROM dataset")
+def r_scanned_depth(spark, d):
+    own = dataset(spark, d)
+    tokens = lex.tokens(F.col("LTL"))
+    distinct = own.select("LTL").distinct().select("LTL", fm.scanned_depth(tokens, ("U",)).alias("until_only"), fm.scanned_depth(tokens).alias("all_binary"))
+    return own.join(distinct, "LTL").select("id", "until_only", "all_binary")
+
+
+@query("SELECT id, CASE WHEN id BETWEEN 5 AND 60 AND trim(paraphrase_gpt) = '' THEN LTL ELSE paraphrase_gpt END AS paraphrase_gpt FROM dataset")
+def r_filled(spark, d):
+    return edits.filled(dataset(spark, d), "paraphrase_gpt", F.col("LTL"), ids=(5, 60)).select("id", "paraphrase_gpt")
+
+
+@query("SELECT id, LTL, NULL AS origin, NULL AS source FROM dataset UNION ALL SELECT row_number() OVER (ORDER BY pos) + (SELECT max(id) FROM dataset), same_formula, 'simplified_from_existing', id FROM dataset WHERE id % 3 = 0")
+def r_with_simplified(spark, d):
+    own = dataset(spark, d).select("pos", "id", "LTL", F.when(F.col("id") % 3 == 0, F.col("same_formula")).otherwise(F.col("LTL")).alias("simplified_formula"))
+    return edits.with_simplified(own).select("id", "LTL", "origin", F.col("source_record_id").alias("source"))
+
+
 # Texts.
 
 

@@ -163,3 +163,16 @@ def test_asking_again(spark):
     got = {r.source_text: (r.raw_model_output, r.request_error) for r in translators.asked(df, factory, wait=lambda s: None).collect()}
     assert got == {"a": ("F a 3", None), "never": (None, "400 bad"), "busy": (None, "429"), None: (None, "no text")}
     assert list(translators.delays(4, 1, "x")) == list(translators.delays(4, 1, "x"))
+
+
+def test_edits(spark):
+    from omegalake.operators import edits
+
+    df = spark.createDataFrame([(1, "a", "m", "x"), (2, None, None, None)], "id int, paraphrase string, paraphrase_model string, origin string").withColumn("paraphrase_gpt5.4-mini", F.when(F.col("id") == 2, "kept"))
+    got = edits.renamed_paraphrase(df)
+    assert "paraphrase" not in got.columns and "paraphrase_model" not in got.columns
+    assert [r[0] for r in got.orderBy("id").select("`paraphrase_gpt5.4-mini`").collect()] == ["a", "kept"]
+    assert [r.origin for r in edits.cleared_from(df, 1).collect()] == [None, None]
+    old = spark.createDataFrame([(0, 4, "F(a)")], "pos long, id long, LTL string")
+    new = spark.createDataFrame([(0, 1, " F(a) "), (1, 2, "G(a)"), (2, 3, "G(a) "), (3, 0, "X(a)")], "pos long, id long, LTL string")
+    assert [(r.id, r.LTL, r.pos) for r in edits.appended(old, new, 1).orderBy("pos").collect()] == [(4, "F(a)", 0), (5, "G(a)", 1)]
