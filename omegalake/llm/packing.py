@@ -145,11 +145,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 1024, key: str =
     """
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary, keeps_spaces).encode, np.array([end_id], "<u4").tobytes()
+        own_encoder, end = encoder(vocabulary, keeps_spaces), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_A_STEP):
                 some, rows = batch.slice(at, TEXTS_A_STEP), []
-                for k, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                for k, data in zip(some.column(0).to_pylist(), own_encoder.encode(some.column(1).to_pylist())):
                     data += end
                     n = len(data) // 4
                     ends = range((n - 1) % size + 1, n + 1, size)
@@ -160,6 +160,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 1024, key: str =
                 columns = list(zip(*rows))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        own_encoder.shrink()
 
     source = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return source.mapInArrow(pieces, PIECES + ", ids binary" * with_ids)

@@ -134,6 +134,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc
                         yield flushed()
         if keys:
             yield flushed()
+        encoder(vocabulary, keeps_spaces).shrink()
 
     source = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
     ordered = source.repartitionByRange("k", "row").sortWithinPartitions("k", "row").select("k", "t")
