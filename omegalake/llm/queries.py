@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import byte_bpe, hash_forest, html_extract, license_scan, packing, quality_net, quality_rules, quote_linking, simhash, token_shards
 from .common import fresh_path, table

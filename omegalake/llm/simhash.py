@@ -127,7 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def state(e: DataFrame) -> tuple:
-        # Exact (no overflow): a sum of signed 32-bit halves and of products modulo a prime.
+        # Sums of numbers below a million: no overflow, and the same in any order.
         mix = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003))
         return tuple(e.agg(F.count("*"), F.sum(mix)).first())
 
