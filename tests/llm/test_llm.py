@@ -226,6 +226,27 @@ def test_op3_recall(spark, sf_dir):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def _recall(x, found):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got, hits = defaultdict(set), 0
+    for r in found:
+        got[r.query_id].add(r.vec_id)
+    for q, ids in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & ids)
+    return hits / (5 * len(got))
+
+
+def test_forest_on_a_hot_group(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(14_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[2000:] = x[2000] + 0.01 * r.normal(size=(12_000, 64))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    assert _recall(x, hash_forest.nearest(df, df.where("vec_id % 100 = 0"), 5).collect()) >= 0.9
+
+
 # 4: SimHash.
 
 
