@@ -2,11 +2,11 @@
 
 Licence texts are held as templates of words. The index holds, for each word that occurs in a
 template, the templates and places where it stands. Of a file only the words of that
-vocabulary are looked at; those that fewest files have (highest inverse document frequency,
-counted over the whole corpus) are looked up, and template postings are intersected by
-relative position: a template lies in the file where enough of its rare words stand at the same
-distance from their places in the template. A hit counts once the template's mandatory phrase
-is found in the file.
+vocabulary are looked at. Of each template the words that fewest files have (highest inverse
+document frequency, counted over the whole corpus) choose files and relative positions: so many that no place with
+enough of the template's words can be without one of them. There all its indexed words are compared: a template
+lies in the file where enough of them stand at the same distance from their places in the template. A
+hit counts once the template's mandatory phrase is found in the file.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ TEMPLATES = (
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Template words that running text has too; they are never looked up.
 COMMON = ("0", "2", "3", "4", "a", "above", "all", "and", "any", "are", "as", "at", "be", "been", "by", "code", "copy", "files", "form", "forms", "has", "in", "is", "it", "may", "met", "must", "not", "of", "or", "person", "source", "that", "the", "this", "to", "use", "v", "with", "work", "you")
-#: Rare words of a file that are looked up, from the highest inverse document frequency down.
+#: Only the SQL stops after so many words of a file, from the highest inverse document frequency down; ``scan`` has no such bound.
 LOOKED_UP = 24
 #: Share of a template's indexed words that must stand at one relative position.
 MIN_SHARE = 0.6
@@ -124,12 +124,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # Few words of running text belong to the vocabulary, so the postings are a small part of the corpus.
     postings = staged(words.where(F.col("word").isin(vocabulary)).distinct(), "licence-postings")
     frequency = postings.select("doc_id", "content", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    by_rarity = Window.partitionBy("doc_id", "content").orderBy("df", "word")
+    by_rarity = Window.partitionBy("template").orderBy("df", "word", "place")
+    # Of n words of which m must be found, one of any n - m + 1 is among those found.
+    spare = F.floor(F.col("of") - F.col("of") * MIN_SHARE + 1e-9)
+    seeds = index.join(F.broadcast(frequency), "word", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rarity", F.row_number().over(by_rarity))
+    seeds = seeds.where(F.col("rarity") <= spare + 1).select("word", "template", "place")
     # Vocabulary and index are as large as the templates above, whatever the corpus.
-    ranked = postings.join(F.broadcast(frequency), "word").withColumn("rarity", F.dense_rank().over(by_rarity))
-    rare = ranked.where(F.col("rarity") <= LOOKED_UP)
-    shifted = rare.join(F.broadcast(index), "word").withColumn("offset", F.col("at") - F.col("place"))
-    hits = shifted.groupBy("doc_id", "content", "template", "label", "phrase", "of", "offset").agg((F.count("*") / F.col("of")).alias("share"))
+    offset = (F.col("at") - F.col("place")).alias("offset")
+    chosen = postings.join(F.broadcast(seeds), "word").select("doc_id", "content", "template", offset).distinct().alias("c")
+    shifted = postings.join(F.broadcast(index), "word").select("doc_id", "content", "template", "label", "phrase", "of", offset).alias("s")
+    same = F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.content") == F.col("c.content")) & (F.col("s.template") == F.col("c.template")) & (F.col("s.offset") == F.col("c.offset"))
+    compared = shifted.join(chosen, same, "left_semi")
+    hits = compared.groupBy("doc_id", "content", "template", "label", "phrase", "of", "offset").agg((F.count("*") / F.col("of")).alias("share"))
     found = hits.where(F.col("share") >= MIN_SHARE).groupBy("doc_id", "content").agg(F.collect_set(F.struct("label", "phrase", "share")).alias("hits"))
     based = base_scan(docs, key, text).alias("b")
     f = found.alias("f")

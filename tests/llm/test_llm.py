@@ -351,6 +351,17 @@ def test_licences_of_notices(spark):
     assert got == {1: "apache-2.0", 2: "mit", 3: "gpl", 4: "", 5: "cc-by"}
 
 
+def test_licences_of_a_long_collection(spark):
+    collection = " ".join(words for _, _, words in license_scan.TEMPLATES)
+    shares = {label for label, _, _ in license_scan.TEMPLATES}
+    notices = ["licensed under cc by nc 4 0", "released under the mit license"]
+    others = " ".join(w for label, _, words in license_scan.TEMPLATES if label not in ("mit", "cc-by-nc") for w in words.split()[::2])
+    rows = [(1, collection), (None, f"{others} {notices[0]} and {others} {notices[1]}"), *((10 + k, text) for k, text in enumerate(notices * 20))]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[1].labels.split(",")) == shares
+    assert {"cc-by-nc", "mit"} <= set(got[None].labels.split(",")) and got[None].score == 1
+
+
 def test_rules_plan_is_native(spark, awkward):
     for df in (quality_rules.apply_rules(awkward), quality_rules.kept_documents(awkward), license_scan.base_scan(awkward)):
         plan = df._jdf.queryExecution().executedPlan().toString()
