@@ -1,9 +1,9 @@
 """Chat formatting by quotation linking.
 
 A message's lines are parsed into its own text and quoted passages with their nesting level.
-Quoted lines and whole quoted passages are normalised and hashed, and joined to the messages of
-the same conversation that say them first; the message that most of them lead to is the one
-replied to. Conversations come out in reply order (no message before the one it answers), each
+Quoted lines, sentences, paragraphs and whole quoted passages are normalised and hashed, and joined to the
+messages of the same conversation that say them first; the message that most of them lead to is the one
+replied to, of the outermost level that leads anywhere if levels are told apart. Conversations come out in reply order (no message before the one it answers), each
 message without quotes.
 """
 
@@ -24,8 +24,10 @@ _QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 #: Lines that introduce a quotation.
 _ATTRIBUTION = re.compile(r"\s*(?:On\b.*\bwrote|Am\b.*\bschrieb\b.*|Le\b.*\ba écrit|El\b.*\bescribió)\s*:\s*")
 _WORD = re.compile(r"\w+")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
-_MESSAGE = "own string, levels int, quoted array<long>, said array<long>"
+_MESSAGE = "own string, levels int, quoted array<long>, said array<long>, depths array<int>"
 
 
 def normalised_hash(text: str) -> int | None:
@@ -38,9 +40,19 @@ def parse(text: str) -> tuple[str, int, list[int], list[int]]:
     """(text without quotes, deepest level, hashes of what it quotes, hashes of what it says).
 
     A line's level is the number of ``>`` before its text; adjoining lines of one level are a
-    passage. Lines that introduce a quotation go with it. Hashed are lines and whole passages, and
-    of its own text lines, paragraphs and the whole.
+    passage. Lines that introduce a quotation go with it. Hashed are the lines, sentences, paragraphs and
+    whole of each passage and of its own text; line breaks within sentences and paragraphs don't count.
     """
+    return parse_levels(text)[:4]
+
+
+def _parts(text: str) -> list[str]:
+    paragraphs = _PARAGRAPH.split(text)
+    return [*text.split("\n"), *(s for p in paragraphs for s in _SENTENCE.split(p)), *paragraphs, text]
+
+
+def parse_levels(text: str) -> tuple[str, int, list[int], list[int], list[int]]:
+    """As ``parse``, and the outermost level of each hash that it quotes."""
     passages: list[tuple[int, list[str]]] = []
     for line in text.split("\n"):
         m = _QUOTED.fullmatch(line)
@@ -57,9 +69,11 @@ def parse(text: str) -> tuple[str, int, list[int], list[int]]:
     def hashes(parts: Iterable[str]) -> list[int]:
         return list(dict.fromkeys(h for p in parts if (h := normalised_hash(p)) is not None))
 
-    quoted = [p for level, lines in passages if level for p in (*lines, "\n".join(lines))]
-    said = [*own.split("\n"), *own.split("\n\n"), own]
-    return own, max((level for level, _ in passages), default=0), hashes(quoted), hashes(said)
+    depths: dict[int, int] = {}
+    for level, lines in passages:
+        for h in hashes(_parts("\n".join(lines))) if level else ():
+            depths[h] = min(level, depths.get(h, level))
+    return own, max((level for level, _ in passages), default=0), list(depths), hashes(_parts(own)), list(depths.values())
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
@@ -67,9 +81,9 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse(t or "") for t in batch.column(len(kept) - 1).to_pylist()]
-            own, levels, quoted, said = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.string()), pa.array(levels, pa.int32()), pa.array(quoted, pa.list_(pa.int64())), pa.array(said, pa.list_(pa.int64()))], [*kept[:-1], "own", "levels", "quoted", "said"])
+            found = [parse_levels(t or "") for t in batch.column(len(kept) - 1).to_pylist()]
+            own, levels, quoted, said, depths = zip(*found) if found else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.string()), pa.array(levels, pa.int32()), pa.array(quoted, pa.list_(pa.int64())), pa.array(said, pa.list_(pa.int64())), pa.array(depths, pa.list_(pa.int32()))], [*kept[:-1], "own", "levels", "quoted", "said", "depths"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields[:-1])
     return messages.mapInArrow(rows, f"{schema}, {_MESSAGE}")
@@ -93,12 +107,13 @@ def _positions(messages: DataFrame) -> DataFrame:
     return placed.select("conv", "turn", "role", (F.col("base") + F.col("own_rank")).alias("position"), "text")
 
 
-def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", nested: bool = False) -> DataFrame:
     """A row for each message: conv_id, position, turn, role, reply_to, n_quotes, n_linked, levels, text.
 
     position: place in the conversation, by turn (ties by role and text). reply_to: position of
     the message that most of its quotes lead to (of equals the latest), else of the one before; null for
-    the first. n_quotes counts distinct quoted lines and passages, n_linked those found in an earlier message of the
+    the first. nested: only quotes of the outermost level that leads to a message decide, since deeper ones
+    are what that message quoted itself. n_quotes counts distinct quoted lines, sentences, paragraphs and passages, n_linked those found in an earlier message of the
     conversation (each leads to the first that says it). text: the message without quotes. Null
     text is empty; messages without conversation form one; repeated rows are separate messages.
     """
@@ -106,11 +121,11 @@ def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str
     parsed = staged(_parsed(_positions(own.select("conv", "turn", "role", "row", "text"))), "parsed-messages")
     said = parsed.select("conv", F.explode("said").alias("h"), F.col("position").alias("at"))
     first = said.groupBy("conv", "h").agg(F.min("at").alias("source")).alias("f")
-    asked = parsed.select("conv", F.explode("quoted").alias("h"), "position").alias("q")
+    asked = parsed.select("conv", F.explode(F.arrays_zip("quoted", "depths")).alias("z"), "position").select("conv", "position", F.col("z.quoted").alias("h"), F.col("z.depths").alias("depth")).alias("q")
     same = F.col("q.conv").eqNullSafe(F.col("f.conv")) & (F.col("q.h") == F.col("f.h"))
-    links = asked.join(first, same).where(F.col("source") < F.col("position")).select("q.conv", "position", "source")
-    votes = links.groupBy("conv", "position", "source").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("conv", "position").agg(F.max(F.struct("votes", "source"))["source"].alias("source"), F.sum("votes").alias("n_linked")).alias("c")
+    links = asked.join(first, same).where(F.col("source") < F.col("position")).select("q.conv", "position", "source", (F.col("depth") if nested else F.lit(1)).alias("depth"))
+    votes = links.groupBy("conv", "position", "depth", "source").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("conv", "position").agg(F.max(F.struct(-F.col("depth"), "votes", "source"))["source"].alias("source"), F.sum("votes").alias("n_linked")).alias("c")
     p = parsed.alias("p")
     joined = p.join(chosen, F.col("p.conv").eqNullSafe(F.col("c.conv")) & (F.col("p.position") == F.col("c.position")), "left")
     before = F.when(F.col("p.position") > 0, F.col("p.position") - 1)

@@ -580,6 +580,16 @@ def test_quote_parsing():
     assert quote_linking.normalised_hash("shallow text") in quoted and quote_linking.normalised_hash("hi bye") in said
 
 
+def test_nested_and_partial_quotes(spark):
+    texts = [
+        "First line here.\nSecond line here.\nThird line here.", "My answer is short.", "Another message. It has two sentences in one line.\n\nAnd a paragraph that\nis wrapped.",
+        "> My answer is short.\n> > First line here.\n> > Second line here.\n> > Third line here.\nThanks", "Between", "> It has two sentences\n> in one line.\nYes", "Between again", "> And a paragraph\n> that is wrapped.\nNo",
+    ]
+    df = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.position: r.reply_to for r in quote_linking.link_quotes(df, nested=True).collect()}
+    assert (got[3], got[5], got[7]) == (1, 2, 2)
+
+
 def test_quote_edges(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (None, 1, None, "> x"), (2, None, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("clash")).withColumn("row", F.lit(1))
