@@ -32,13 +32,23 @@ _SPACE_RUN = re.compile(r"\s\s")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Where ASCII punctuation, the apostrophe apart, follows an ASCII letter.
 _AFTER_LETTER = re.compile(r"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]")
+#: Combining marks have code points from U+0300 on.
+_CAPITAL_BEFORE_MARK = re.compile("[A-Z][\u0300-\U0010ffff]")
+_OTHER_CAPITALS = re.compile("[A-Z](?![\u0300-\U0010ffff])")
 #: Letters of the Latin blocks that stay one letter in lower case, with a leading space or not.
 _WORD = re.compile("( ?)[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
 
 
 def _marked_words(text: str) -> str:
-    """The text with a space at every boundary; this vocabulary lower-cases, and doing so for ASCII first makes more units alike."""
-    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    """The text with a space at every boundary; this vocabulary lower-cases, and doing so for ASCII first makes more units alike.
+
+    The library composes before it lowers, and some marks compose with a small letter only: a
+    capital before a character that may be such a mark stays as it is.
+    """
+    if _CAPITAL_BEFORE_MARK.search(text):
+        lower = _OTHER_CAPITALS.sub(lambda m: m[0].lower(), text)
+    else:
+        lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     return _AFTER_LETTER.sub(r" \g<0>", lower)
 
 

@@ -97,7 +97,17 @@ class Block:
             return np.full(len(keys), -1, np.int64)
         slot = self._hash(keys)
         hit = (slot >= 0) & (self._marks[slot] == fingerprints(keys.astype(np.int64).view(np.uint64)))
-        return np.where(hit, self._rows[slot], -1)
+        return np.where(hit, self._rows[slot].astype(np.int64), -1)
+
+    def looked_up(self) -> np.ndarray:
+        """The row of every document: by the hash of its key, if it is the first with this key, else its own."""
+        at = np.arange(len(self))
+        own = self.keys[self.without :]
+        first = self.without + np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
+        at[first] = self.find(self.keys[first])
+        if (at < 0).any():
+            raise ValueError("the index misses a key of its block")
+        return at
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2, keeps_spaces: bool = False) -> None:
@@ -147,16 +157,21 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shard_rows(shards: DataFrame) -> DataFrame:
-    """A row for each document, read from the files: key, start (ids of all before it), n_tokens, ids_crc32."""
+    """A row for each document, read from the files: key, start (ids of all before it), n_tokens, ids_crc32.
+
+    Every key is looked up by its hash, and what is read is the document that the index gives for it; documents
+    without key and those that repeat the key of the one before are read by row.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 b = Block(batch.column(2)[r].as_py(), batch.column(3)[r].as_py())
-                crc = [zlib.crc32(b.ids(k).astype("<u4").tobytes()) for k in range(len(b))]
-                n = len(b)
+                n, at = len(b), b.looked_up()
+                starts, sizes = b.offsets[at], b.offsets[at + 1] - b.offsets[at]
+                crc = [zlib.crc32(b.ids(k).astype("<u4").tobytes()) for k in at.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[r].as_py()] * n, pa.int32()), pa.array([batch.column(1)[r].as_py()] * n, pa.int32()), pa.array([b.key(k) for k in range(n)], pa.int64()), pa.array(b.offsets[:-1]), pa.array(np.diff(b.offsets)), pa.array(crc, pa.int64())],
+                    [pa.array([batch.column(0)[r].as_py()] * n, pa.int32()), pa.array([batch.column(1)[r].as_py()] * n, pa.int32()), pa.array([b.key(k) for k in range(n)], pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())],
                     ["shard", "block", "key", "own_start", "n_tokens", "ids_crc32"],
                 )
 
@@ -174,6 +189,7 @@ def shard_rows(shards: DataFrame) -> DataFrame:
 def look_up(shards: DataFrame, keys: list[int]) -> DataFrame:
     """(key, ids) of those of the wanted keys that are there; keys: as many as a driver's list may hold.
 
+    Of documents with the same key that with the smallest (shard, block, row) is given.
     Blocks outside the keys' range are skipped by the files' statistics; within a block each
     key costs one hash, one fingerprint and two offsets.
     """
@@ -184,12 +200,14 @@ def look_up(shards: DataFrame, keys: list[int]) -> DataFrame:
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                low, high, payload, index = (c[r].as_py() for c in batch.columns)
+                shard, block, low, high, payload, index = (c[r].as_py() for c in batch.columns)
                 asked = wanted[np.searchsorted(wanted, low) : np.searchsorted(wanted, high, "right")]
                 if len(asked):
                     b = Block(payload, index)
                     hits = [(int(k), b.ids(a).tolist()) for k, a in zip(asked, b.find(asked)) if a >= 0]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.list_(pa.int64()))], ["key", "ids"])
+                    place = [pa.array([x] * len(hits), pa.int32()) for x in (shard, block)]
+                    yield pa.RecordBatch.from_arrays([*place, pa.array([k for k, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.list_(pa.int64()))], ["shard", "block", "key", "ids"])
 
     near = shards.where((F.col("first_key") <= int(wanted[-1])) & (F.col("last_key") >= int(wanted[0])))
-    return near.select("first_key", "last_key", "payload", "index").mapInArrow(found, "key long, ids array<long>").dropDuplicates(["key"])
+    hits = near.select("shard", "block", "first_key", "last_key", "payload", "index").mapInArrow(found, "shard int, block int, key long, ids array<long>")
+    return hits.groupBy("key").agg(F.min_by("ids", F.struct("shard", "block")).alias("ids"))

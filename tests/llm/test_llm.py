@@ -25,9 +25,9 @@ TEXTS = [
 ]
 
 
-def _fuzz(n, seed):
+def _fuzz(n, seed, more=()):
     r = random.Random(seed)
-    parts = [*" \n\t'", "  ", "'s", "'ll", "re", "the", "The", " and", "é", "漢", "🙂", "٣", "ⅷ", "!", "...", "###", *string.ascii_letters[:8], *"0123"]
+    parts = [*" \n\t'", "  ", "'s", "'ll", "re", "the", "The", " and", "é", "漢", "🙂", "٣", "ⅷ", "!", "...", "###", *string.ascii_letters[:8], *"0123", *more]
     return ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(n)]
 
 
@@ -59,7 +59,8 @@ def test_units_encode_as_the_library_does(path, keeps):
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
-    texts = [t or "" for t in TEXTS] + _fuzz(600, 1)
+    marked = ["T\u0308", "H\u0331", "W\u030a", "Y\u030a", "J\u030c", "H\u0331ad a", "HTML A漢B", "T\u0323\u0308", "I\u0307", "\u212a\u0308"]
+    texts = [t or "" for t in TEXTS] + marked + _fuzz(600, 1) + _fuzz(3000, 21, [chr(c) for c in range(0x300, 0x330)] + list("THWYJKthwyj"))
     for t, ids in zip(texts, encoders.UnitEncoder(path, keeps).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
@@ -103,13 +104,25 @@ def test_shards(spark, awkward, empty, tmp_path, monkeypatch):
         assert r.ids_crc32 in [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids[r.key]]
     keys = [r.key for r in got if r.key is not None]
     assert keys == sorted(keys)
-    found = {r.key: r.ids for r in token_shards.look_up(shards, [1, 5, 7, 99, -4]).collect()}
-    assert set(found) == {1, 5, 7} and found[7] in ids[7] and found[5] in ids[5]
+    found = {r.key: r.ids for r in token_shards.look_up(shards, [1, 5, 7, 99, -4, 4, 1 << 40]).collect()}
+    assert set(found) == {1, 4, 5, 7} and found[7] in ids[7] and found[5] in ids[5]
     assert token_shards.look_up(shards, []).count() == 0
     token_shards.write_shards(empty, f"file://{tmp_path}/none", WORDS)
     assert token_shards.shard_rows(token_shards.read_shards(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_rows_come_through_the_hash():
+    lists = [np.arange(k, 2 * k + 1, dtype="<u4").tobytes() for k in range(6)]
+    keys = [None, None, 3, 3, 8, 9]
+    b = token_shards.Block(*token_shards.pack_block(keys, lists, 4))
+    assert b.looked_up().tolist() == [0, 1, 2, 3, 4, 5] and b.find(np.array([3, 4, 77, -1])).tolist() == [2, -1, -1, -1]
+    b._rows = b._rows[::-1]  # a broken index shows
+    assert b.looked_up().tolist() != [0, 1, 2, 3, 4, 5]
+    b._marks = b._marks + np.uint32(1)
+    with pytest.raises(ValueError):
+        b.looked_up()
+
+
 def test_op1_starts(spark, sf_dir):
     rows = queries.op1_token_shards(spark, sf_dir).orderBy("doc_id").collect()
     assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])[:-1]]).tolist()
@@ -391,6 +404,28 @@ def test_bpe_as_tiktoken(spark):
         assert bpe.decode(ids) == t.encode() and bpe.offsets(ids)[-1] == len(t.encode())
 
 
+def test_bpe_agrees_on_every_code_point():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.ByteBpe(MULTI)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 40_000):
+        text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}b " for c in codes[at : at + 40_000])
+        assert np.frombuffer(bpe.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text), hex(codes[at])
+
+
+def test_bpe_slices():
+    for t in _fuzz(60, 14) + ["", "a", "it's " * 9]:
+        for chars in (1, 3, 7):
+            assert [p for own in byte_bpe.slices_of(t, chars) for p in own] == byte_bpe.pieces_of([t])[0]
+    bpe = byte_bpe.ByteBpe(MULTI)
+    text = "some words and 漢字 of a long text, it's " * 60_000
+    ids = bpe.encode(["a", text, "b"])
+    assert bpe.decode(ids[1]) == text.encode() and (ids[0], ids[2]) == tuple(bpe.encode(["a", "b"]))
+
+
 def test_scan_across_blocks():
     r = np.random.default_rng(8)
     classes = r.integers(0, 9, 5 * byte_bpe.BLOCK + 17).astype(np.uint8)
