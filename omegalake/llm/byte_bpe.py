@@ -14,7 +14,6 @@ import gc
 import hashlib
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +29,6 @@ MEMORY = 1 << 20
 #: Pieces of more bytes are merged with a heap.
 LONG_PIECE = 128
 
-#: Code points of white space.
-WHITE_SPACE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What may follow an apostrophe as a piece of its own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -71,14 +68,22 @@ _kinds: list[np.ndarray] = []
 
 
 def _kind_of_codepoints() -> np.ndarray:
-    """LETTER, NUMBER, MARK or INNER (white space) of every code point."""
+    """LETTER, NUMBER, MARK or INNER (white space) of every code point.
+
+    Unicode grows, and the library has its own edition of it: it is asked once for the code points of each class,
+    by an encoding that keeps every match as bytes.
+    """
     if not _kinds:
+        import tiktoken
+
+        codes = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, sys.maxunicode + 1, dtype="<u4")])
+        everything = codes.tobytes().decode("utf-32-le")
+        as_bytes = {bytes([b]): b for b in range(256)}
         kind = np.full(sys.maxunicode + 2, MARK, np.uint8)
-        for k in range(sys.maxunicode + 1):
-            general = unicodedata.category(chr(k))[0]
-            if general in "LN":
-                kind[k] = LETTER if general == "L" else NUMBER
-        kind[list(WHITE_SPACE)] = INNER
+        for pattern, own in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", INNER)):
+            library = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=as_bytes, special_tokens={})
+            matched = bytes(library.encode_ordinary(everything)).decode()
+            kind[np.frombuffer(matched.encode("utf-32-le"), "<u4")] = own
         kind[-1] = END
         _kinds.append(kind)
     return _kinds[0]
@@ -122,6 +127,28 @@ def _states(classes: np.ndarray, start: int = FRESH) -> np.ndarray:
     return before.T.ravel()[: len(classes)]
 
 
+def slices_of(text: str, chars: int = BATCH_CHARS) -> Iterator[list[bytes]]:
+    """The pieces of one text, however long, slice by slice: the scanner's state is carried on, and two characters are seen ahead."""
+    state, held = FRESH, b""
+    for at in range(0, len(text), chars):
+        part = text[at : at + chars]
+        codes = np.frombuffer(text[at : at + chars + 2].encode("utf-32-le"), "<u4")
+        classes = _classes(np.append(codes, np.uint32(sys.maxunicode + 1)))[: len(part)]
+        states = _states(classes, state)
+        state = int(_AFTER[classes[-1], states[-1]])
+        codes, data = codes[: len(part)], part.encode()
+        width = (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000) + 1
+        place = np.cumsum(width) - width
+        begins = place[np.flatnonzero(_BEGINS[classes, states])].tolist()
+        if not begins:
+            held += data
+            continue
+        yield [p for p in (held + data[: begins[0]], *(data[a:b] for a, b in zip(begins, begins[1:]))) if p]
+        held = data[begins[-1] :]
+    if held:
+        yield [held]
+
+
 def pieces_of(texts: list[str]) -> list[list[bytes]]:
     """Each text's pieces in UTF-8, in order."""
     codes = np.concatenate([np.append(np.frombuffer(t.encode("utf-32-le"), "<u4"), np.uint32(sys.maxunicode + 1)) for t in texts])
@@ -195,25 +222,30 @@ class ByteBpe:
         return [ranks[piece[k:e]] for k, e in enumerate(ends) if e > 0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
+        """Ids as little-endian unsigned 32-bit numbers. A text of over BATCH_CHARS characters is taken slice by slice."""
         gc.disable()  # no cycles are made here
         try:
-            split = pieces_of(texts) if texts else []
-            wanted: set[bytes] = set()
-            wanted.update(*split)
-            if len(self._known) + len(wanted) > MEMORY:
-                self._known = {}
-            known, merged = self._known, self._merged
-            for piece in wanted:
-                if piece not in known:
-                    known[piece] = np.array(merged(piece), "<u4").tobytes()
-            get = known.__getitem__
-            return [b"".join(map(get, own)) for own in split]
+            short = [t for t in texts if len(t) <= BATCH_CHARS]
+            found = iter(self._ids_of(pieces_of(short)) if short else [])
+            return [next(found) if len(t) <= BATCH_CHARS else b"".join(self._ids_of([own])[0] for own in slices_of(t)) for t in texts]
         finally:
             gc.enable()
 
+    def _ids_of(self, split: list[list[bytes]]) -> list[bytes]:
+        wanted: set[bytes] = set()
+        wanted.update(*split)
+        if len(self._known) + len(wanted) > MEMORY:
+            self._known = {}
+        known, merged = self._known, self._merged
+        for piece in wanted:
+            if piece not in known:
+                known[piece] = np.array(merged(piece), "<u4").tobytes()
+        get = known.__getitem__
+        return [b"".join(map(get, own)) for own in split]
+
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found, own = np.frombuffer(ids, "<u4"), self._bytes.__getitem__
+        return b"".join(b"".join(map(own, found[at : at + BATCH_CHARS].tolist())) for at in range(0, len(found), BATCH_CHARS))
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """Where each id's bytes start in the text, and the text's length in bytes at last."""
