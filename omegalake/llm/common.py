@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shared import arrow_rows, fresh_path, shared_dir, staged
 
-__all__ = ["arrow_rows", "fresh_path", "shared_dir", "staged", "table"]
+__all__ = ["arrow_rows", "fresh_path", "joined_by_count", "shared_dir", "staged", "table"]
+
+#: A key is hot if it has over HOT_ROWS rows and over one HOT_KEYS-th of all, so there are fewer than HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 20_000, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def joined_by_count(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has one row each and in ``n`` the number of ``left``'s rows with it.
+
+    rows: all of ``left``'s. Rows of hot keys meet the few that these are where they lie, so none
+    of them goes to one task; the others are shuffled. ``n`` is not returned.
+    """
+    hot = max(HOT_ROWS, rows // HOT_KEYS)
+    if rows <= hot:
+        return left.join(right.drop("n"), key)
+    few = F.broadcast(right.where(F.col("n") > hot).drop("n"))
+    others = left.join(few.select(key), key, "left_anti").join(right.where(F.col("n") <= hot).drop("n"), key)
+    return left.join(few, key).unionByName(others)

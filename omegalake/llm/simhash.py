@@ -15,17 +15,17 @@ half are needed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import joined_by_count, staged
 
 BITS = 64
 SHINGLE = 3
@@ -39,35 +39,49 @@ _NEAR = np.array([0, *_ONE], np.uint64)
 _FAR = np.array([0, *_ONE, *((1 << i) | (1 << j) for half in _HALVES for i, j in combinations(half, 2))], np.uint64)
 #: Fingerprints whose variants are made at once.
 _AT_ONCE = 64
+#: Bytes of a text taken apart at once; they end before white space.
+BLOCK_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def fingerprint(text: str | None) -> int:
     """SimHash of a whole text: ASCII letters lower-cased, words between ASCII white space,
     three-word shingles with repeats (fewer words: all of them), XXH64. No words: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    digest, ones, n, words = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0, []
+
+    def count(shingles: Iterable[bytes]) -> None:
+        nonlocal n, ones
+        hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
+        n += len(hashes)
+        for at in range(0, len(hashes), 1 << 16):
+            some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    at = 0
+    while at < len(data):
+        space = _SPACE.search(data, at + BLOCK_BYTES)
+        stop = space.start() if space else len(data)
+        words = words[1 - SHINGLE :] + data[at:stop].split()  # the last words go on in the next block
+        count(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))))
+        at = stop
+    if not n and words:
+        count([b" ".join(words)])
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+    """(doc_id, content, fp): fp holds the fingerprint's 64 bits as a signed long; equal texts have equal content."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
-                fps = np.array([fingerprint(t.as_py()) for t in some.column(1)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps)], ["doc_id", "fp"])
+                fps = np.array([fingerprint(t.as_py()) for t in some.column(2)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(fps)], ["doc_id", "content", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(hashed, "doc_id long, fp long")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("t"))
+    return source.mapInArrow(hashed, "doc_id long, content long, fp long")
 
 
 def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,35 +136,45 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): the smallest node it is connected with.
 
     Alternates large-star and small-star (Kiveris et al., 2014) until the edges no longer
-    change. Each round is written to the shared folder; nothing but a count and a checksum
-    comes to the driver. No edges: no rows.
+    change: then there are as many as before, and none that was not there. Each round is written to the shared folder; nothing but
+    a count comes to the driver. The neighbours of a node that very many have are not brought together. No edges: no rows.
     """
 
-    def state(e: DataFrame) -> tuple:
-        # Sums of numbers below a million: no overflow, and the same in any order.
-        mix = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003))
-        return tuple(e.agg(F.count("*"), F.sum(mix)).first())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, rows: int, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         both = both.distinct()
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        joined = joined_by_count(both, least, "a", rows)
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.where("a != b").distinct()
 
-    edges, before = staged(edges, "links"), None
-    now = state(edges)
-    while now != before:
-        before = now
-        edges = staged(star(star(edges, large=True), large=False), "stars")
-        now = state(edges)
+    edges = staged(edges.distinct(), "links")
+    rows, changed = edges.count(), True
+    while rows and changed:
+        before, n = edges, rows
+        edges = staged(star(star(edges, 2 * n, large=True), 2 * n, large=False), "stars")
+        rows = edges.count()
+        changed = rows != n or not edges.join(before, ["a", "b"], "left_anti").isEmpty()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
 
 
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows, (fp, n, root) of each distinct one, and (root, n, first) of each component.
+
+    first: its row of the smallest doc_id, and of the smallest content among those; rows without doc_id come last.
+    """
+    own = staged(fingerprints(docs, key, text), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "content")
+    nodes = staged(own.groupBy("fp").agg(F.count("*").alias("n"), F.min(row).alias("first")), "nodes")
+    roots = components(links(nodes))
+    named = staged(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "named")
+    least = staged(named.groupBy("root").agg(F.count("*").alias("n"), F.min("first").alias("first")), "components")
+    return own, named.select("fp", "n", "root"), least
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable by links.
 
@@ -158,38 +182,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     each get a row. A null doc_id takes part with its text but never names a component, unless
     no member has an id (then null). Empty table: no rows.
     """
-    own = staged(fingerprints(docs, key, text), "fingerprints")
-    nodes = staged(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = staged(named, "named")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = staged(named.join(least, "root").select("fp", "component_id"), "classes")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    own, named, least = _grouped(docs, key, text)
+    component = least.select("root", "n", F.col("first.doc_id").alias("component_id"))
+    classes = staged(joined_by_count(named.withColumnRenamed("n", "times"), component, "root", named.count()).select("fp", F.col("times").alias("n"), "component_id"), "classes")
+    return joined_by_count(own, classes, "fp", own.count()).select("doc_id", "fp", "component_id")
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, with its columns as they are: that with the smallest id.
 
-    Of rows that repeat an id one stays. Documents without id stay only where no member of
-    their group has one, and then one of them.
+    Where several texts of a group bear the smallest id, that with the smallest hash stays; of rows that
+    repeat id and text one stays, whose other columns have the smallest hash. Documents without id stay only where
+    no member of their group has one, and then one of them. An id that bears texts of several groups may stay several times.
     """
-    found = near_duplicates(docs, key, text)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    own = docs.join(first, docs[key] == first["_first"], "left_semi").dropDuplicates([key])
-    nameless = found.where("component_id is null").select("doc_id", "fp").distinct()
-    without = docs.where(F.col(key).isNull())
-    marked = without.withColumn("_fp", _fingerprint_of(text))
-    single = marked.join(nameless.select(F.col("fp").alias("_fp")), "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return own.unionByName(single)
-
-
-def _fingerprint_of(text: str):
-    @F.pandas_udf("long")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-
-    return hashed(F.col(text))
+    own, _, least = _grouped(docs, key, text)
+    times = own.groupBy("doc_id", "content").agg(F.count("*").alias("rows"))
+    first = least.select(F.col("first.doc_id").alias("id"), F.col("first.content").alias("hash"))
+    chosen = staged(first.join(times, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("content"))).select("id", "hash", F.col("rows") > 1), "chosen").toDF("id", "hash", "repeated")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs[key].cast("long").eqNullSafe(some["id"]) & (F.xxhash64(docs[text]) == some["hash"]), "left_semi")
+
+    single, repeated = rows_of(chosen.where("not repeated")), chosen.where("repeated")
+    if repeated.isEmpty():
+        return single
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    alike = rows_of(repeated).select(F.col(key).alias("k"), F.xxhash64(text).alias("c"), whole.alias("row"), F.xxhash64(F.to_json(whole)).alias("order"))
+    return single.union(alike.groupBy("k", "c").agg(F.min_by("row", "order").alias("row")).select("row.*"))
 
 
 def as_hex(fp: str = "fp"):

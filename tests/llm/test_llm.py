@@ -14,7 +14,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from omegalake.llm import byte_bpe, encoders, hash_forest, html_extract, license_scan, mphf, packing, quality_net, quality_rules, queries, quote_linking, simhash, token_shards
+from omegalake.llm import byte_bpe, common, encoders, hash_forest, html_extract, license_scan, mphf, packing, quality_net, quality_rules, queries, quote_linking, simhash, token_shards
 
 WORDS, BYTES, MULTI = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -36,7 +36,7 @@ def awkward(spark):
     """Null and repeated ids, repeated rows, and columns whose names clash with the operators' own."""
     rows = [(k if k else None, t) for k, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (5, "another text under the same id"), (5, "another text under the same id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for c in ("k", "t", "s", "v", "h", "fp", "row", "word", "rank", "length", "piece", "_row", "kept", "ids", "content", "lang"):
+    for c in ("k", "t", "s", "v", "h", "fp", "row", "word", "rank", "length", "piece", "_row", "kept", "ids", "content", "lang", "_fp", "_first", "_part", "_rank", "_n", "_base", "n", "root", "hash", "repeated", "order", "id"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -327,11 +327,36 @@ def test_near_duplicates_edges(spark, awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.distinct_documents(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert {roots[_plain_fingerprint(r.text)] for r in kept.collect()} == set(least)
+    # One id bears two texts and is the smallest of both groups: neither group goes. Of equal ids and texts one row stays, always the same.
+    twice = [(1, "a b c d e", "x"), (1, "p q r s t", "x"), (2, "a b c d e", "x"), (3, "p q r s t", "x"), (1, "a b c d e", "y"), (1, "a b c d e", "x")]
+    both = [simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() for rows in (twice, twice[::-1])]
+    assert sorted(both[0]) == sorted(both[1]) and sorted((r.doc_id, r.text) for r in both[0]) == [(1, "a b c d e"), (1, "p q r s t")]
     nameless = spark.createDataFrame([(None, "x y z"), (None, "x y z"), (None, "p q r s")], "doc_id long, text string")
     assert simhash.distinct_documents(nameless).count() == 2
 
 
+def test_giant_component_and_hot_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    chain = [(k + 1, k) for k in range(1500)] + [(0, -k) for k in range(1, 1500)] + [(5000, 5001)]
+    edges = spark.createDataFrame(random.Random(1).sample(chain, len(chain)), "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert len(got) == 3002 and set(got.values()) == {-1499, 5000} and got[1500] == -1499 and got[5001] == 5000
+    docs = spark.createDataFrame([(k, "" if k % 3 else f"text number {k} of these") for k in range(600)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(found) == 600 and all(found[k] == 1 for k in range(600) if k % 3)
+
+
+def test_fingerprint_in_blocks(monkeypatch):
+    texts = [t for t in TEXTS if t] + _fuzz(40, 8) + ["one two three four five " * 30]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for n in (1, 2, 5, 17):
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", n)
+        assert [simhash.fingerprint(t) for t in texts] == whole
+
+
 # 5 and 6: licences and rules.
 
 
