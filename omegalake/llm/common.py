@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import arrow_rows, fresh_path, shared_dir, staged
 
-__all__ = ["arrow_rows", "fresh_path", "joined_by_count", "shared_dir", "staged", "table"]
+__all__ = ["arrow_rows", "fresh_path", "joined_by_count", "shared_dir", "staged", "table", "unused"]
 
 #: A key is hot if it has over HOT_ROWS rows and over one HOT_KEYS-th of all, so there are fewer than HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 20_000, 10_000
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or the first longer one that no column bears."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def joined_by_count(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
     """Inner join on ``key``, of which ``right`` has one row each and in ``n`` the number of ``left``'s rows with it.
 

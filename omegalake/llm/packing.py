@@ -8,7 +8,9 @@ of its length and looks up its place in the plan.
 
 from __future__ import annotations
 
+import operator
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, staged
+from .common import arrow_rows, staged, unused
 from .encoders import TEXTS_A_STEP, encoder
 
 #: Pieces of one length that are ranked together; a frequent length is dealt into as many parts as that takes.
@@ -27,56 +29,77 @@ RANKED_TOGETHER = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _multiplicities(items: tuple[int, ...]) -> list[tuple[int, int]]:
-    return list(Counter(items).items())
+class SumIndex:
+    """For each sum up to ``size``, the single lengths, pairs and triples on hand that make it exactly.
 
-
-def exact_fills(count: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences filled without a gap: (lengths, how many), taken off ``count``.
-
-    From the longest length down, the gap is looked up among single lengths, sums of two and
-    sums of three; a hit is used as often as the counts allow.
+    Pairs are held by their larger part and triples by one part and the sum of the other two.
+    ``count`` only falls, so an entry whose lengths are used up is dropped when it is met.
     """
-    made = []
 
-    def use(items: tuple[int, ...]) -> bool:
-        times = min(int(count[x]) // n for x, n in _multiplicities(items))
-        if times:
-            made.append((items, times))
-            for x in items:
-                count[x] -= times
-        return times > 0
-
-    def pair(total: int) -> int:
-        """The larger part of a sum of two lengths on hand, or 0."""
-        if total < 2:
-            return 0
-        top = np.arange(total - 1, (total - 1) // 2, -1)
-        ok = (count[top] > 0) & (count[total - top] > 0) & ((top != total - top) | (count[top] > 1))
-        return int(top[np.argmax(ok)]) if ok.any() else 0
-
-    def complement(length: int) -> tuple[int, ...]:
-        gap = size - length
-        if gap == 0 or count[gap] > 0:
-            return (gap,) * (gap > 0)
-        if a := pair(gap):
-            return a, gap - a
-        for a in range(gap - 2, 0, -1):
-            if count[a] > 0:
-                count[a] -= 1
-                b = pair(gap - a)
-                count[a] += 1
-                if b:
-                    return a, b, gap - a - b
+    def __init__(self, count: np.ndarray, size: int):
+        self.count = count
+        lengths = [x for x in range(size, 0, -1) if count[x]]
+        self.pairs: dict[int, list[int]] = {}
+        for a in lengths:
+            for b in lengths[bisect_left(lengths, -min(a, size - a), key=operator.neg) :]:
+                self.pairs.setdefault(a + b, []).append(a)
+        self.triples: dict[int, list[int]] = {}
+        for a in lengths:
+            for total in self.pairs:
+                if a + total <= size:
+                    self.triples.setdefault(a + total, []).append(a)
+
+    def _has(self, *parts: int) -> bool:
+        return all(self.count[x] >= parts.count(x) for x in parts)
+
+    def _first(self, entries: list[int], lives, fits) -> int:
+        """The first entry that fits, or 0; entries that no longer live are dropped on the way."""
+        k = 0
+        while k < len(entries):
+            if not lives(entries[k]):
+                del entries[k]
+            elif fits(entries[k]):
+                return entries[k]
+            else:
+                k += 1
+        return 0
+
+    def making(self, total: int, besides: tuple[int, ...], most: int = 3) -> tuple[int, ...]:
+        """One, two or three lengths (``most`` at most) that make ``total`` and are on hand besides the given ones; () if none."""
+        if self._has(total, *besides):
+            return (total,)
+        if most < 2:
+            return ()
+        if a := self._first(self.pairs.get(total, []), lambda a: self._has(a, total - a), lambda a: self._has(a, total - a, *besides)):
+            return a, total - a
+
+        def rest(a: int) -> int:
+            return self._first(self.pairs.get(total - a, []), lambda b: self._has(b, total - a - b), lambda b: self._has(a, b, total - a - b, *besides))
+
+        if most < 3:
+            return ()
+        if a := self._first(self.triples.get(total, []), lambda a: self._has(a) and bool(self.pairs.get(total - a)), lambda a: self._has(a, *besides) and rest(a) > 0):
+            return a, (b := rest(a)), total - a - b
         return ()
 
+
+def exact_fills(count: np.ndarray, size: int, most: int = 3) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences filled without a gap: (lengths, how many), taken off ``count``.
+
+    From the longest length down, the gap is looked up in the index of sums: a single length, a
+    pair, a triple (``most``: how many lengths at most); a hit is used as often as the counts allow.
+    """
+    made, index = [], SumIndex(count, size)
     for length in range(size, 0, -1):
         while count[length] > 0:
-            count[length] -= 1
-            rest = complement(length)
-            count[length] += 1
-            if sum(rest) + length != size or not use((length, *rest)):
+            rest = index.making(size - length, (length,), most) if length < size else ()
+            if length + sum(rest) != size:
                 break
+            items = (length, *rest)
+            times = min(int(count[x]) // n for x, n in Counter(items).items())
+            made.append((items, times))
+            for x in items:
+                count[x] -= times
     return made
 
 
@@ -112,11 +135,20 @@ class Plan:
     """Where the pieces of each length go: segments of ranks with their first sequence and offset."""
 
     def __init__(self, counts: dict[int, int], size: int):
+        """Gaps are filled by triples, by pairs at most, by singles only or by best fit alone: whichever makes the fewest sequences."""
         count = np.zeros(size + 1, np.int64)
         for length, n in counts.items():
             count[length] = n
+        least, made = -(-int(count @ np.arange(size + 1)) // size), None
+        for most in (3, 2, 1, 0):
+            left = count.copy()
+            own = (exact_fills(left, size, most) if most else []) + best_fit(left, size)
+            if made is None or sum(n for _, n in own) < sum(n for _, n in made):
+                made = own
+            if sum(n for _, n in made) == least:
+                break
         self.sequences, used, rows = 0, Counter(), []
-        for items, times in exact_fills(count, size) + best_fit(count, size):
+        for items, times in made:
             offset = 0
             for x in items:
                 rows.append((x, used[x], self.sequences, offset))
@@ -177,14 +209,16 @@ def pack(pieces: DataFrame, *, size: int = 1024) -> DataFrame:
     plan = Plan(histogram, size)
     parts_of = F.array(*(F.lit(-(-histogram.get(n, 1) // RANKED_TOGETHER)) for n in range(1, size + 1)))
     row = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    dealt = pieces.withColumn("_part", F.pmod(row, F.element_at(parts_of, F.col("length").cast("int"))))
-    parts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "start", "ids_crc32")
+    # The pieces' own columns travel in one, so that no name of theirs meets one of these.
+    own = F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("own")
+    dealt = pieces.select(own, F.col("length"), F.pmod(row, F.element_at(parts_of, F.col("length").cast("int"))).alias("part"))
+    parts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("length", "part").orderBy("own.doc_id", "own.piece", "own.start", "own.ids_crc32")
     # The pieces lie by (length, part) already, so the join moves only the few bases.
-    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["length", "_part"])
-    ranked = ranked.select(*pieces.columns, (F.col("_base") + F.col("_rank")).alias("_rank"))
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "part"])
+    ranked = ranked.select("own.*", (F.col("base") + F.col("rank")).alias(unused("rank", pieces.columns)))
     width = len(pieces.columns)
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -509,6 +509,28 @@ def test_plan_places_everything(seed):
         assert at <= size
     least = -(-int(lengths.sum()) // size)
     assert len(fill) == plan.sequences and plan.sequences <= max(least + 2, int(1.25 * least))
+    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    assert plan.sequences <= sum(n for _, n in packing.best_fit(count, size))
+
+
+def test_sum_index_against_all_combinations():
+    from itertools import combinations_with_replacement
+
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        count = np.zeros(31, np.int64)
+        np.add.at(count, r.integers(1, 31, 8), 1)
+        index = packing.SumIndex(count, 30)
+        for length in r.integers(1, 30, 40).tolist():
+            if not count[length]:
+                continue
+            total, besides = 30 - length, (length,)
+            wanted = {k for k in (1, 2, 3) for own in combinations_with_replacement(range(1, 31), k) if sum(own) == total and all(count[x] >= (own + besides).count(x) for x in own)}
+            found = index.making(total, besides)
+            assert len(found) == min(wanted, default=0) and (not found or sum(found) == total)
+            if found and r.random() < 0.3:
+                for x in found:
+                    count[x] -= 1
 
 
 def test_exact_fills_use_singles_pairs_and_triples():
@@ -534,6 +556,10 @@ def test_packing_edges(spark, awkward, empty):
             wanted.append((k or -1, p, start, stop - start, zlib.crc32(np.array(ids[start:stop], "<u4").tobytes())))
     assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(wanted)
     assert packing.pack_documents(empty, BYTES).count() == 0
+    pieces = packing.cut_pieces(awkward, BYTES, size=64)
+    for c in ("_part", "_n", "_rank", "_base", "part", "n", "rank", "base", "own"):
+        pieces = pieces.withColumn(c, F.lit("clash"))
+    assert _check_packing(packing.pack(pieces, size=64).where("base = 'clash'").collect(), 64) == _check_packing(rows, 64)
 
 
 def test_op8_near_the_least(spark, sf_dir):
