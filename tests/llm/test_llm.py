@@ -197,14 +197,16 @@ def test_forest_against_brute_force(spark):
     x[100:400] = x[0]  # a frequent vector
     x[400:420] = 2 * x[1]
     rows = [(int(k), [float(v) for v in row]) for k, row in enumerate(x)]
-    rows += [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] * 16), (1150, [None, *[1.0] * 15]), (1200, [1.0, 2.0]), (None, [1.0] * 16), (7, rows[7][1])]
+    rows += [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] * 16), (1150, [None, *[1.0] * 15]), (1200, [1.0, 2.0]), (1250, [3.0, 4.0]), (1300, [1.0, 0.0]), (None, [1.0] * 16), (7, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)
     for row in hash_forest.nearest(df, df.where("vec_id % 50 = 0"), 5, trees=8, window=128).collect():
         got[row.query_id].append((row.rank, row.vec_id, row.score))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
-    assert set(got) == set(range(0, 900, 50))
+    assert set(got) == {*range(0, 900, 50), 1200, 1250, 1300}
+    assert [f[1:] for f in sorted(got.pop(1200))] == [(1250, pytest.approx(11 / 125**0.5)), (1300, pytest.approx(1 / 5**0.5))]
+    got.pop(1250), got.pop(1300)
     for q, found in got.items():
         found.sort()
         assert [f[0] for f in found] == [1, 2, 3, 4, 5] and q not in [f[1] for f in found]
@@ -217,6 +219,24 @@ def test_forest_against_brute_force(spark):
     assert [f[1] for f in got[150]] == [0, 100, 101, 102, 103]  # ties: the smaller ids
 
 
+def test_forest_ties_and_partitions(spark):
+    """Scaled copies are different vectors with equal cosines; the number of partitions changes no row."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(600, 8))
+    x[100:300] = x[50] * 2.0 ** r.integers(-20, 20, (200, 1))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows.append(sorted(hash_forest.nearest(df, df.where("vec_id % 50 = 0"), 5, trees=6, window=60).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows[0] == rows[1]
+    found = {q: [v for a, _, v, _ in rows[0] if a == q] for q in (50, 100, 150)}
+    assert found == {50: [100, 101, 102, 103, 104], 100: [50, 101, 102, 103, 104], 150: [50, 100, 101, 102, 103]}
+
+
 def test_forest_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in hash_forest.nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1)]
