@@ -43,8 +43,8 @@ TEMPLATES = (
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Template words that running text has too; they are never looked up.
 COMMON = ("0", "2", "3", "4", "a", "above", "all", "and", "any", "are", "as", "at", "be", "been", "by", "code", "copy", "files", "form", "forms", "has", "in", "is", "it", "may", "met", "must", "not", "of", "or", "person", "source", "that", "the", "this", "to", "use", "v", "with", "work", "you")
-#: Only the SQL stops after so many words of a file, from the highest inverse document frequency down; ``scan`` has no such bound.
-LOOKED_UP = 24
+#: The words of the templates that are looked up.
+VOCABULARY = sorted({w for _, _, words in TEMPLATES for w in words.split()} - set(COMMON))
 #: Share of a template's indexed words that must stand at one relative position.
 MIN_SHARE = 0.6
 
@@ -72,17 +72,12 @@ def _places(spaced: Column, phrase: str) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(wide), F.lit("")))) / len(wide)).cast("long")
 
 
-def _spaced(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Words and identity of each row: rows with the same key and text are alike in every result."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("doc_id"), F.xxhash64(content).alias("content"), words_text(content).alias("s"))
-
-
 def base_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's word count, places of the base phrases, first and last of them, and labels.
 
     A place is a word number from 0. Null text is empty: no words, no places, no labels.
-    ``phrases`` lists the mandatory phrases of templates that stand in the text.
+    ``phrases`` lists the mandatory phrases of templates that stand in the text, ``postings`` the
+    places of its words that belong to the vocabulary of the templates. ``row`` tells rows apart.
     """
     s, firsts, lasts, counts, labels = F.col("s"), [], [], [], []
     for label, phrase in BASE:
@@ -93,8 +88,10 @@ def base_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         lasts.append(F.when(has, _n_words(s) - _n_words(F.substring_index(s, wide, -1)) - n))
         labels.append(F.when(has, F.lit(label)))
     mandatory = sorted({phrase for _, phrase, _ in TEMPLATES})
-    return _spaced(docs, key, text).select(
-        "doc_id", "content", _n_words(s).alias("n_words"), (counts[0] + counts[1] + counts[2]).alias("n_base"),
+    spaced = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), words_text(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    places = F.transform(F.split(F.btrim("s"), "  "), lambda w, at: F.struct(at.alias("at"), w.alias("word")))
+    return spaced.select(
+        "row", "doc_id", F.filter(places, lambda p: p["word"].isin(VOCABULARY)).alias("postings"), _n_words(s).alias("n_words"), (counts[0] + counts[1] + counts[2]).alias("n_base"),
         F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
         F.array_compact(F.array(*labels)).alias("base"),
         F.array_compact(F.array(*(F.when(s.contains(_wide(p)), F.lit(p)) for p in mandatory))).alias("phrases"),
@@ -119,11 +116,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     each by itself. Empty table: no rows.
     """
     index = template_index(docs.sparkSession)
-    vocabulary = sorted({w for _, _, words in TEMPLATES for w in words.split()} - set(COMMON))
-    words = _spaced(docs, key, text).select("doc_id", "content", F.posexplode(F.split(F.btrim("s"), "  ")).alias("at", "word"))
-    # Few words of running text belong to the vocabulary, so the postings are a small part of the corpus.
-    postings = staged(words.where(F.col("word").isin(vocabulary)).distinct(), "licence-postings")
-    frequency = postings.select("doc_id", "content", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    # Texts are read once. Few words of running text belong to the vocabulary, so this is a small part of the corpus.
+    based = staged(base_scan(docs, key, text), "licence-postings")
+    postings = based.select("row", F.explode("postings").alias("p")).select("row", "p.at", "p.word")
+    frequency = postings.select("row", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
     by_rarity = Window.partitionBy("template").orderBy("df", "word", "place")
     # Of n words of which m must be found, one of any n - m + 1 is among those found.
     spare = F.floor(F.col("of") - F.col("of") * MIN_SHARE + 1e-9)
@@ -131,15 +127,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     seeds = seeds.where(F.col("rarity") <= spare + 1).select("word", "template", "place")
     # Vocabulary and index are as large as the templates above, whatever the corpus.
     offset = (F.col("at") - F.col("place")).alias("offset")
-    chosen = postings.join(F.broadcast(seeds), "word").select("doc_id", "content", "template", offset).distinct().alias("c")
-    shifted = postings.join(F.broadcast(index), "word").select("doc_id", "content", "template", "label", "phrase", "of", offset).alias("s")
-    same = F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.content") == F.col("c.content")) & (F.col("s.template") == F.col("c.template")) & (F.col("s.offset") == F.col("c.offset"))
-    compared = shifted.join(chosen, same, "left_semi")
-    hits = compared.groupBy("doc_id", "content", "template", "label", "phrase", "of", "offset").agg((F.count("*") / F.col("of")).alias("share"))
-    found = hits.where(F.col("share") >= MIN_SHARE).groupBy("doc_id", "content").agg(F.collect_set(F.struct("label", "phrase", "share")).alias("hits"))
-    based = base_scan(docs, key, text).alias("b")
-    f = found.alias("f")
-    joined = based.join(f, F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.content") == F.col("f.content")), "left").select("b.*", "f.hits")
+    chosen = postings.join(F.broadcast(seeds), "word").select("row", "template", offset).distinct()
+    shifted = postings.join(F.broadcast(index), "word").select("row", "template", "label", "phrase", "of", offset)
+    # Rows of one document are spread by their offsets, however many words of the vocabulary it has.
+    compared = shifted.join(chosen, ["row", "template", "offset"], "left_semi")
+    hits = compared.groupBy("row", "template", "label", "phrase", "of", "offset").agg((F.count("*") / F.col("of")).alias("share"))
+    # The best share of each label and phrase: as many for a document as there are templates.
+    best = hits.where(F.col("share") >= MIN_SHARE).groupBy("row", "label", "phrase").agg(F.max("share").alias("share"))
+    found = best.groupBy("row").agg(F.collect_list(F.struct("label", "phrase", "share")).alias("hits"))
+    joined = based.drop("postings").join(found, "row", "left")
     kept = joined.withColumn("verified", F.filter(F.coalesce("hits", F.array().cast("array<struct<label:string,phrase:string,share:double>>")), lambda h: F.array_contains(F.col("phrases"), h["phrase"])))
     labels = F.array_union("base", F.transform("verified", lambda h: h["label"]))
     return kept.select(
@@ -166,11 +162,9 @@ places AS ({" UNION ALL ".join(places)}),
 base AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS z, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY r),
 postings AS (
   SELECT * FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS spot FROM d) WHERE word IN (SELECT word FROM ix)),
-frequency AS (SELECT word, count(DISTINCT r) AS df FROM postings GROUP BY word),
-ranked AS (SELECT p.*, dense_rank() OVER (PARTITION BY r ORDER BY df, word) AS rarity FROM postings p JOIN frequency USING (word)),
 hits AS (
-  SELECT r, template, label, phrase, count(*) * 1.0 / total AS share FROM ranked JOIN ix USING (word)
-  WHERE rarity <= {LOOKED_UP} GROUP BY r, template, label, phrase, total, spot - place HAVING count(*) * 1.0 / total >= {MIN_SHARE}),
+  SELECT r, template, label, phrase, count(*) * 1.0 / total AS share FROM postings JOIN ix USING (word)
+  GROUP BY r, template, label, phrase, total, spot - place HAVING count(*) * 1.0 / total >= {MIN_SHARE}),
 verified AS (
   SELECT h.* FROM hits h JOIN d USING (r) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')),
 method AS (SELECT r, max(share) AS share, list(DISTINCT label) AS labels FROM verified GROUP BY r)

@@ -417,6 +417,17 @@ def test_licences_of_a_long_collection(spark):
     rows = [(1, collection), (None, f"{others} {notices[0]} and {others} {notices[1]}"), *((10 + k, text) for k, text in enumerate(notices * 20))]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got[1].labels.split(",")) == shares
+    # The same by plain counting.
+    for key, text in rows:
+        words = re.findall("[a-z0-9]+", text)
+        labels = set()
+        for label, phrase, template in license_scan.TEMPLATES:
+            own = [(w, k) for k, w in enumerate(template.split()) if w not in license_scan.COMMON]
+            best = max(sum(0 <= at + k < len(words) and words[at + k] == w for w, k in own) for at in range(-len(template.split()), len(words)))
+            if best >= 0.6 * len(own) and f" {phrase} " in f" {' '.join(words)} ":
+                labels.add(label)
+        base = {label for label, phrase in license_scan.BASE if f" {phrase} " in f" {' '.join(words)} "}
+        assert got[key].labels == ",".join(sorted(labels | base))
     assert {"cc-by-nc", "mit"} <= set(got[None].labels.split(",")) and got[None].score == 1
 
 
