@@ -56,13 +56,17 @@ class QualityNet:
 
     def _answers(self, data: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Filters' answers at every window, before the cut at zero. A text's last window ends in padding."""
+        answers, last = self._windows(data), cells[1:] * CELL - 1
+        # Not the next text's first step.
+        answers[last] = self.embedding[data.reshape(-1, STRIDE)[last]].reshape(len(last), -1) @ self.filters[: STRIDE * EMBEDDED] + self.bias
+        return answers
+
+    def _windows(self, data: np.ndarray) -> np.ndarray:
+        """Filters' answers at every window of bytes that lie one after the other."""
         steps = self.embedding[data].reshape(-1, STRIDE * EMBEDDED)
         # A window is two steps: each step meets both halves of the filters in one product.
         halves = steps @ np.concatenate([self.filters[: STRIDE * EMBEDDED], self.filters[STRIDE * EMBEDDED :]], axis=1)
-        answers = halves[:-1, :FILTERS] + halves[1:, FILTERS:] + self.bias
-        last = cells[1:] * CELL - 1
-        answers[last] = halves[last, :FILTERS] + self.bias  # not the next text's first step
-        return answers
+        return halves[:-1, :FILTERS] + halves[1:, FILTERS:] + self.bias
 
     @staticmethod
     def _chunks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +91,29 @@ class QualityNet:
         mean = np.add.reduceat(by_chunk, first, axis=0) / counts[:, None].astype(np.float32)
         return data, cells, answers, spans, counts, by_chunk, np.concatenate([top, mean], axis=1)
 
+    def _long_features(self, text: bytes) -> np.ndarray:
+        """As ``_pooled`` for one text of any length: some chunks at a time, of which the maxima and sums are carried on."""
+        cells = max(1, -(-len(text) // _CELL_BYTES))
+        chunks = len(range(0, max(1, cells - 1), CHUNK - 1))
+        step = max(1, AT_ONCE // ((CHUNK - 1) * _CELL_BYTES))
+        top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS)
+        for chunk in range(0, chunks, step):
+            n = min(step, chunks - chunk)
+            first = chunk * (CHUNK - 1)
+            last = min(cells, first + (n - 1) * (CHUNK - 1) + CHUNK)
+            # The step after the last window too; beyond the text it is padding, which answers nothing.
+            part = text[first * _CELL_BYTES : last * _CELL_BYTES + WINDOW - STRIDE].ljust((last - first) * _CELL_BYTES + WINDOW - STRIDE, b"\0")
+            answers = self._windows(np.frombuffer(part, np.uint8))
+            by_cell = answers.reshape(-1, CELL, FILTERS).max(axis=1)
+            for a in range(0, n * (CHUNK - 1), CHUNK - 1):
+                own = np.maximum(by_cell[a : a + CHUNK].max(axis=0), 0)
+                top, total = np.maximum(top, own), total + own
+        return np.concatenate([top, (total / chunks).astype(np.float32)])
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        features = self._pooled(texts)[-1]
+        short = [t for t in texts if len(t) <= AT_ONCE]
+        found = iter(self._pooled(short)[-1] if short else ())
+        features = np.stack([next(found) if len(t) <= AT_ONCE else self._long_features(t) for t in texts])
         return 1 / (1 + np.exp(-(features @ self.out + self.out_bias[0]).astype(np.float64)))
 
     def _gradients(self, texts: list[bytes], wanted: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -150,14 +175,14 @@ def fold(key: str = "doc_id"):
 def fit_on_labels(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> QualityNet:
     """Fits on at most ``rows`` labelled documents that are not held out, of at most SAMPLE_BYTES each.
 
-    The sample is fixed by the ids' checksums. Rows without id or label are left out; without
+    The sample is fixed by the ids' checksums; of documents with one id that with the smallest text is taken. Rows without id or label are left out; without
     any labelled row the net stays as it is made.
     """
     known = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     chosen = known.where(fold("k") != HELD_OUT).dropDuplicates(["k"]).orderBy(F.crc32(F.col("k").cast("string")), "k").limit(rows)
     own = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
-    # At most ``rows`` keys, and as many texts of bounded length.
-    sample = own.join(F.broadcast(chosen), "k").orderBy("k", "t").limit(2 * rows).collect()
+    # At most ``rows`` keys, and one text of bounded length for each.
+    sample = sorted(own.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect())
     net = QualityNet()
     return net.fit([r["t"].encode() for r in sample], np.array([r["y"] for r in sample], float)) if sample else net
 

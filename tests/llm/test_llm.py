@@ -156,6 +156,31 @@ def test_gradients_agree_with_differences():
             assert g[at] == pytest.approx((up - down) / 2e-5, abs=2e-4)
 
 
+def _plain_score(net, text):
+    """The network by plain loops over windows and chunks."""
+    n = max(1, -(-len(text) // 64))
+    data = text.ljust(64 * n + 4, b"\0")
+    answers = []
+    for w in range(16 * n):
+        window = np.concatenate([net.embedding[b] for b in data[4 * w : 4 * w + 8]])
+        answers.append([max(0.0, float(window @ net.filters[:, f] + net.bias[f])) for f in range(quality_net.FILTERS)])
+    answers = np.array(answers)
+    chunks = [answers[16 * a : 16 * min(a + 9, n)].max(axis=0) for a in range(0, max(1, n - 1), 8)]
+    x = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)]) @ net.out + net.out_bias[0]
+    return 1 / (1 + np.exp(-x))
+
+
+def test_scores_against_plain_loops(monkeypatch):
+    r, net = np.random.default_rng(1), quality_net.QualityNet()
+    net.bias += r.normal(0, 0.1, net.bias.shape).astype(np.float32)
+    texts = [b"", b"a", *(bytes(r.integers(1, 256, n)) for n in (63, 64, 65, 127, 128, 575, 576, 577, 1090, 4000))]
+    wanted = [_plain_score(net, t) for t in texts]
+    assert np.allclose(net.scores(texts), wanted, atol=1e-5)
+    for at_once in (1, 600, 1100):  # long texts in parts
+        monkeypatch.setattr(quality_net, "AT_ONCE", at_once)
+        assert np.allclose(net.scores(texts), wanted, atol=1e-5)
+
+
 def test_chunks_cover_documents():
     for n in (1, 2, 8, 9, 10, 17, 100):
         spans, counts = quality_net.QualityNet._chunks(np.array([0, n, n + 3]))
@@ -640,6 +665,12 @@ def test_given_pages_give_their_articles(spark, sf_dir, field):
         assert r.text == "\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
 
 
+def test_long_lists_of_names(field):
+    names = "col md lg row flex grow p m text box card wide"
+    page = f"<div class='{names} sidebar'><p>One two three four five six.</p></div><article class='{names}'><h1>Title</h1><p>Words of the article that go on for a while, and on.</p></article><div class='{names} comments'><p>I say so too, and so do we.</p></div>"
+    assert field.text(page) == "Title\nWords of the article that go on for a while, and on."
+
+
 def test_markup():
     page = "<BODY><!-- <p>no --><p class=x>a &amp; b<b>c</b><br>d<p>e<script>var p='<p>x</p>'</script><ul><li>f<li>g</ul>h<textarea>no</textarea><img alt='>'>i</p><p>1 < 2 &lt; 3"
     assert [b[0] for b in html_extract.leaf_blocks(page)] == ["a & bc d", "e", "f", "g", "hi", "1 < 2 < 3"]
