@@ -9,6 +9,7 @@ pages that are made here from a seed, in many layouts, so training needs no corp
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -124,7 +125,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 del stack[k:]
         own = {"in:" + tag}
         if m["attrs"]:
-            own.update("name:" + w for found in _NAMES.findall(m["attrs"].lower()) for w in _NAME_WORD.findall("".join(found))[:8])
+            own.update("name:" + w for found in _NAMES.findall(m["attrs"].lower()) for w in _NAME_WORD.findall("".join(found)))
             if _HIDDEN.search(m["attrs"]):
                 own.add("hidden")
         stack.append((tag, stack[-1][1] | own))
@@ -268,8 +269,9 @@ def labelled_page(r: np.random.Generator) -> tuple[str, list[bool]]:
 PAGES, STEPS, RATE, DECAY = 500, 150, 0.2, 2e-4
 
 
+@functools.cache
 def train(pages: int = PAGES, seed: int = 3) -> Field:
-    """Maximises the likelihood of the labels, by forward and backward sums over all pages at once."""
+    """Once for each process. Maximises the likelihood of the labels, by forward and backward sums over all pages at once."""
     r = np.random.default_rng(seed)
     made = []
     while len(made) < pages:
