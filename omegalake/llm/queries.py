@@ -53,7 +53,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_linking.link_quotes(table(spark, sf_dir, "conversations"), nested=True)
+    return quote_linking.as_conversations(quote_linking.link_quotes(table(spark, sf_dir, "conversations"), nested=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

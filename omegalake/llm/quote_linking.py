@@ -3,8 +3,8 @@
 A message's lines are parsed into its own text and quoted passages with their nesting level.
 Quoted lines, sentences, paragraphs and whole quoted passages are normalised and hashed, and joined to the
 messages of the same conversation that say them first; the message that most of them lead to is the one
-replied to, of the outermost level that leads anywhere if levels are told apart. Conversations come out in reply order (no message before the one it answers), each
-message without quotes.
+replied to, of the outermost level that leads anywhere if levels are told apart. Conversations are built in reply order: each message, without its quotes,
+comes after the one it answers and before all later answers to that one (depth first, answers by turn).
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from ..operators.keyed import running_total
+from .common import joined_by_count, staged
 
 _QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 #: Lines that introduce a quotation.
@@ -119,11 +120,15 @@ def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str
     """
     own = messages.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parsed = staged(_parsed(_positions(own.select("conv", "turn", "role", "row", "text"))), "parsed-messages")
+    passage = F.struct("conv", "h").alias("passage")  # structs with null fields are equal
     said = parsed.select("conv", F.explode("said").alias("h"), F.col("position").alias("at"))
-    first = said.groupBy("conv", "h").agg(F.min("at").alias("source")).alias("f")
-    asked = parsed.select("conv", F.explode(F.arrays_zip("quoted", "depths")).alias("z"), "position").select("conv", "position", F.col("z.quoted").alias("h"), F.col("z.depths").alias("depth")).alias("q")
-    same = F.col("q.conv").eqNullSafe(F.col("f.conv")) & (F.col("q.h") == F.col("f.h"))
-    links = asked.join(first, same).where(F.col("source") < F.col("position")).select("q.conv", "position", "source", (F.col("depth") if nested else F.lit(1)).alias("depth"))
+    first = said.groupBy(passage).agg(F.min("at").alias("source"))
+    asked = parsed.select("conv", F.explode(F.arrays_zip("quoted", "depths")).alias("z"), "position").select("conv", "position", F.col("z.quoted").alias("h"), F.col("z.depths").alias("depth"))
+    asked = asked.select("conv", "position", "depth", passage)
+    # A passage that very many messages quote is not brought to one task.
+    times = asked.groupBy("passage").agg(F.count("*").alias("n"))
+    met = joined_by_count(asked, first.join(times, "passage"), "passage", asked.count())
+    links = met.where(F.col("source") < F.col("position")).select("conv", "position", "source", (F.col("depth") if nested else F.lit(1)).alias("depth"))
     votes = links.groupBy("conv", "position", "depth", "source").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("conv", "position").agg(F.max(F.struct(-F.col("depth"), "votes", "source"))["source"].alias("source"), F.sum("votes").alias("n_linked")).alias("c")
     p = parsed.alias("p")
@@ -136,8 +141,57 @@ def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str
     )
 
 
-def as_transcripts(linked: DataFrame, most_turns: int = 10_000) -> DataFrame:
-    """(conv_id, part, messages): each conversation in reply order, in parts of at most ``most_turns`` messages."""
-    parts = linked.withColumn("part", F.floor(F.col("position") / most_turns))
-    turns = F.sort_array(F.collect_list(F.struct("position", "reply_to", "role", "text")))
-    return parts.groupBy("conv_id", "part").agg(turns.alias("messages"))
+def _same(a: str, b: str, at: str):
+    """The row of ``b`` for the message that ``at`` of ``a`` names."""
+    return F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.{at}") == F.col(f"{b}.position"))
+
+
+def reply_order(linked: DataFrame) -> DataFrame:
+    """(conv, position, place) of (conv, position, reply_to): each message's number in reply order, from 0.
+
+    A message is followed by its first answer with all that answer that one, then by its next answer, and
+    so on: the tree of answers, depth first, answers by position. Where every message answers the one before,
+    that is their order. Else the next message in the tree is found for all at once, and distances to the end by pointers that
+    reach twice as far in each round: as many rounds as the logarithm of the longest conversation, each
+    with joins on single messages, so that a conversation of any size is spread.
+    """
+    jumps = linked.where("reply_to != position - 1").select("conv").distinct().alias("j")
+    if jumps.isEmpty():
+        return linked.select("conv", "position", F.col("position").alias("place"))
+    conversation = F.col("l.conv").eqNullSafe(F.col("j.conv"))
+    straight = linked.alias("l").join(jumps, conversation, "left_anti").select("conv", "position", F.col("position").alias("place"))
+    nodes = staged(linked.alias("l").join(jumps, conversation, "left_semi").select("conv", "position", "reply_to"), "messages-in-trees")
+    # The next answer to the same message has the next number among all answers.
+    numbered = staged(running_total(nodes.where("reply_to is not null"), ["conv", "reply_to", "position"], F.lit(1), "number"), "answers")
+    later = numbered.select((F.col("number") - 1).alias("number"), F.col("conv").alias("c"), F.col("reply_to").alias("r"), F.col("position").alias("sibling"))
+    answers = numbered.join(later, "number", "left").select("conv", "position", F.when(F.col("conv").eqNullSafe(F.col("c")) & (F.col("reply_to") == F.col("r")), F.col("sibling")).alias("sibling"))
+    # After a message without answers comes the next answer beside it or beside the nearest message above that has one.
+    own = nodes.alias("n").join(answers.alias("a"), _same("n", "a", "position"), "left").select("n.conv", "n.position", F.col("sibling").alias("found"), F.when(F.col("sibling").isNull(), F.col("reply_to")).alias("above"))
+    own = staged(own, "above")
+    while not own.where("above is not null").isEmpty():
+        found, above = F.coalesce("a.found", "b.found"), F.when(F.coalesce("a.found", "b.found").isNull(), F.col("b.above"))
+        own = staged(own.alias("a").join(own.alias("b"), _same("a", "b", "above"), "left").select("a.conv", "a.position", found.alias("found"), above.alias("above")), "above")
+    child = nodes.where("reply_to is not null").groupBy("conv", F.col("reply_to").alias("position")).agg(F.min("position").alias("child"))
+    ahead = own.alias("a").join(child.alias("b"), _same("a", "b", "position"), "left").select("a.conv", "a.position", F.coalesce("child", "found").alias("next"), F.lit(1).cast("long").alias("left"))
+    ahead = staged(ahead, "ahead")
+    while not ahead.where("next is not null").isEmpty():
+        left = F.col("a.left") + F.coalesce("b.left", F.lit(0))
+        ahead = staged(ahead.alias("a").join(ahead.alias("b"), _same("a", "b", "next"), "left").select("a.conv", "a.position", F.col("b.next").alias("next"), left.alias("left")), "ahead")
+    whole = F.struct("conv").alias("whole")
+    sizes = nodes.groupBy(whole).agg(F.count("*").alias("n"), F.count("*").alias("size"))
+    placed = joined_by_count(ahead.select("conv", "position", "left", whole), sizes, "whole", nodes.count())
+    return straight.union(placed.select("conv", "position", (F.col("size") - F.col("left")).alias("place")))
+
+
+def as_conversations(linked: DataFrame, most: int = 1000) -> DataFrame:
+    """(conv_id, part, n_messages, messages) of ``link_quotes``: each conversation in reply order, in parts of at most ``most`` messages.
+
+    A message: place (its number in reply order), position, turn, role, reply_to, n_quotes, n_linked,
+    levels and its text without quotes. No messages: no rows.
+    """
+    linked = staged(linked, "linked-messages")
+    order = reply_order(linked.select(F.col("conv_id").alias("conv"), "position", "reply_to"))
+    placed = linked.alias("l").join(order.alias("o"), F.col("l.conv_id").eqNullSafe(F.col("o.conv")) & (F.col("l.position") == F.col("o.position")))
+    message = F.struct("o.place", "l.position", "l.turn", "l.role", "l.reply_to", "l.n_quotes", "l.n_linked", "l.levels", "l.text")
+    parts = placed.groupBy("l.conv_id", F.floor(F.col("o.place") / most).alias("part"))
+    return parts.agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(message)).alias("messages"))

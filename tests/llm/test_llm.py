@@ -744,7 +744,68 @@ def test_quote_edges(spark):
     got = quote_linking.link_quotes(df).collect()
     assert sorted((r.conv_id or 0, r.position) for r in got) == [(0, 0), (1, 0), (1, 1), (2, 0)]
     assert quote_linking.link_quotes(df.where("false")).count() == 0
-    assert quote_linking.as_transcripts(quote_linking.link_quotes(df)).count() == 3
+    assert quote_linking.as_conversations(quote_linking.link_quotes(df)).count() == 3
+    assert quote_linking.as_conversations(quote_linking.link_quotes(df.where("false"))).count() == 0
+
+
+def _simple_thread(texts):
+    """[(reply_to, own lines)] by rules of its own for messages of one-line quotes: no hashes, no regular expressions."""
+    plain = lambda line: "".join(c for c in line.lower() if c.isalnum() or c == " ").split()
+    own, found = [], []
+    for at, text in enumerate(texts):
+        levels, lines = defaultdict(list), []
+        for line in text.split("\n"):
+            depth = 0
+            while line.startswith(">"):
+                depth, line = depth + 1, line[1:].lstrip(" ")
+            levels[depth].append(plain(line)) if depth else lines.append(line)
+        reply = at - 1 if at else None
+        for depth in sorted(levels):
+            votes = defaultdict(int)
+            for line in {tuple(x) for x in levels[depth] if x}:
+                source = next((k for k in range(len(own)) if list(line) in [plain(x) for x in own[k]]), None)
+                if source is not None:
+                    votes[source] += 1
+            if votes:
+                reply = max(votes, key=lambda k: (votes[k], k))
+                break
+        own.append(lines)
+        found.append((reply, "\n".join(lines)))
+    return found
+
+
+def _depth_first(replies):
+    order, stack = [], [0] if replies else []
+    while stack:
+        at = stack.pop()
+        order.append(at)
+        stack += [k for k in reversed(range(len(replies))) if replies[k] == at]
+    return order
+
+
+def test_conversations_against_a_simple_thread(spark, monkeypatch):
+    """Three quote levels, the same line said by several, answers to early messages, one conversation without id."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    r, rows, wanted = random.Random(12), [], {}
+    for conv in [None, *range(12)]:
+        texts = []
+        for turn in range(r.choice([1, 3, 8, 30])):
+            quoted = []
+            for depth in range(1, r.randint(1, 4)):
+                # Lines of messages that quote nothing, so that a passage of one level is one line.
+                for line in r.sample([x for t in texts for x in t.split("\n") if not x.startswith(">")] or ["Never said."], 1):
+                    quoted += ["> " * depth + line]
+            texts.append("\n".join([*quoted, r.choice(["Yes", f"Message {turn} of {conv}", f"I think {turn % 3}"])]))
+        rows += [(conv, turn, "user", t) for turn, t in enumerate(texts)]
+        simple = _simple_thread(texts)
+        wanted[conv] = [(at, simple[at][0], simple[at][1]) for at in _depth_first([x[0] for x in simple])]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "conv_id long, turn long, role string, text string")
+    got = defaultdict(list)
+    for c in sorted(quote_linking.as_conversations(quote_linking.link_quotes(df, nested=True), most=7).collect(), key=lambda c: c.part):
+        assert len(c.messages) == c.n_messages <= 7 and [m.place for m in c.messages] == list(range(7 * c.part, 7 * c.part + c.n_messages))
+        got[c.conv_id] += [(m.position, m.reply_to, m.text) for m in c.messages]
+    assert got == wanted
 
 
 # The pipeline.
