@@ -9,15 +9,20 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and all runs in one process, as in local tests.
 OWN_SHARED_DIR = "file:///tmp/checkpoints"
 
 _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    A cluster must name one: a folder of this machine would be another on each executor.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or OWN_SHARED_DIR).rstrip("/")
 
 
