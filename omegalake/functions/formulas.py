@@ -66,9 +66,6 @@ def _metrics(text: str | None) -> dict:
     }
 
 
-#: Rounds of ``is_nnf``: nesting beyond it is taken as not in normal form.
-NNF_ROUNDS = 12
-
 
 
 @F.pandas_udf(METRICS)
@@ -177,17 +174,21 @@ def ltl_from_word_prefix(texts: pd.Series) -> pd.Series:
 def is_nnf(found: Column) -> Column:
     """Whether lenient tokens form a fully parenthesised formula of &, |, U, X, F and G with only propositions negated.
 
-    The tokens, joined, are reduced by replacing innermost well-formed parts with an atom; native, and
-    as many rounds as the nesting of dataset formulas can need.
+    The tokens, joined, are reduced by replacing innermost well-formed parts with an atom; native. Every round
+    that changes anything takes a token away, so there are as many rounds as tokens, and none is missing at any depth.
+    Meant for distinct formulas.
     """
     atom = F.transform(found, lambda t: F.when(t.rlike(r"^prop_\w+$"), F.lit("p")).otherwise(t))
     text = F.concat(F.lit(" "), F.array_join(atom, " "), F.lit(" "))
-    for _ in range(NNF_ROUNDS):
+
+    def reduced(text: Column, _: Column) -> Column:
         text = F.regexp_replace(text, r" \( p \) ", " p ")
         text = F.regexp_replace(text, r" ! p ", " q ")
         text = F.regexp_replace(text, r" [XFG] [pq] ", " q ")
-        text = F.regexp_replace(text, r" \( [pq] (?:[&|U] [pq] )?\) ", " q ")
-    return F.trim(text).isin("p", "q")
+        return F.regexp_replace(text, r" \( [pq] (?:[&|U] [pq] )?\) ", " q ")
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)))
+    return F.trim(F.aggregate(rounds, text, reduced)).isin("p", "q")
 
 
 def scanned_depth(found: Column, deepening: tuple[str, ...] = ("U", "W", "R", "M")) -> Column:

@@ -25,7 +25,7 @@ def tokens(text: Column) -> Column:
 def corpus_tokens(text: Column) -> Column:
     """With [] as G, <> as F, && as & and || as |."""
     standard = F.create_map(*(F.lit(x) for pair in (("[]", "G"), ("<>", "F"), ("&&", "&"), ("||", "|")) for x in pair))
-    return F.transform(_matches(text, CORPUS), lambda t: F.coalesce(F.try_element_at(standard, t), t))
+    return renamed(_matches(text, CORPUS), standard)
 
 
 def is_operator(token: Column) -> Column:
@@ -136,7 +136,8 @@ def renaming(found: Column) -> Column:
 
 
 def renamed(found: Column, mapping: Column) -> Column:
-    return F.transform(found, lambda t: F.coalesce(F.try_element_at(mapping, t), t))
+    """Tokens by the mapping, which is made once for each row."""
+    return F.get(F.transform(F.array(mapping), lambda m: F.transform(found, lambda t: F.coalesce(F.try_element_at(m, t), t))), F.lit(0))
 
 
 def canonical(found: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lex import renamed
+
 
 def word_count(text: Column) -> Column:
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -155,7 +157,7 @@ def names_in(text: Column) -> Column:
 def replaced_names(text: Column, mapping: Column) -> Column:
     """Whole names replaced at once by a map."""
     parts = F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b|."), F.lit(0))
-    return F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(mapping, t), t)), "")
+    return F.array_join(renamed(parts, mapping), "")
 
 
 def pair_mapping(gold: Column, predicted: Column) -> Column:

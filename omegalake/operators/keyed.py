@@ -50,25 +50,28 @@ def running_total(df: DataFrame, order: list[str], value: Column, name: str) ->
 
     Ranges of rows are summed apart and shifted by what lies before them, so no task sees all rows.
     """
-    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
-    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    before = F.sum("_all").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = ranged.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_all")).select("_p", F.coalesce(before, F.lit(0)).alias("_shift"))
-    summed = ranged.withColumn("_own", own).join(shifts, F.col("_part") == F.col("_p"))
-    return summed.select(*df.columns, (F.col("_own") + F.col("_shift")).alias(name))
+    # The rows travel in one column, so that no name of theirs meets one of these.
+    by = [F.col(f"row.`{c}`") for c in order]
+    ranged = df.select(_row(df).alias("row"), value.alias("value")).repartitionByRange(*by).withColumn("part", F.spark_partition_id())
+    ranged = staged(ranged, "ranged")
+    own = F.sum("value").over(Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("whole").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = ranged.groupBy("part").agg(F.sum("value").alias("whole")).select("part", F.coalesce(before, F.lit(0)).alias("shift"))
+    summed = ranged.withColumn("own", own).join(shifts, "part")
+    return summed.select("row.*", (F.col("own") + F.col("shift")).alias(name))
 
 
 def sequential_ids(df: DataFrame, order: list[str], name: str = "id", base: int = 0) -> DataFrame:
-    """Numbers rows from base + 1 in this order."""
-    numbered = running_total(df, order, F.lit(1), "_n")
-    return numbered.withColumn(name, F.col("_n") + base).drop("_n")
+    """Numbers rows from base + 1 in this order; a column of that name is replaced."""
+    numbered = running_total(df.select(_row(df).alias("row"), *(F.col(f"`{c}`").alias(f"by{k}") for k, c in enumerate(order))), [f"by{k}" for k in range(len(order))], F.lit(1), "number")
+    return numbered.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c != name), (F.col("number") + base).alias(name))
 
 
 def append_new(existing: DataFrame, new: DataFrame, text: str = "LTL", pos: str = "pos") -> DataFrame:
     """Rows of ``new`` whose trimmed text is in neither ``existing`` nor an earlier new row."""
-    keyed = new.withColumn("_key", F.trim(text)).where("_key != ''")
-    fresh = keyed.join(existing.select(F.trim(text).alias("_key")).distinct(), "_key", "left_anti")
-    return first_per_key(fresh, ["_key"], pos).drop("_key")
+    keyed = new.select(_row(new).alias("row"), F.trim(text).alias("key"), F.col(pos).alias("at")).where("key != ''")
+    fresh = keyed.join(existing.select(F.trim(text).alias("key")).distinct(), "key", "left_anti")
+    return fresh.groupBy("key").agg(F.min_by("row", "at").alias("row")).select("row.*")
 
 
 def not_done(tasks: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,35 +8,54 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import staged
 from .keyed import running_total
 
 
-def tied_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the average rank of equal values: values are counted first, ranks run over distinct values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    ranked = running_total(counts, [value], F.col("_n"), "_upto")
-    return df.join(ranked.select(F.col(value).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), F.col(value) == F.col("_v")).drop("_v")
+def tied_ranks(df: DataFrame, value: str, name: str, weight: Column | None = None) -> DataFrame:
+    """Adds the average rank of equal values: values are counted first (a row counts ``weight`` times), ranks run over distinct values."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_times"))
+    ranked = running_total(counts, ["_v"], F.col("_times"), "_upto")
+    return df.join(ranked.select("_v", (F.col("_upto") - (F.col("_times") - 1) / 2).alias(name)), F.col(value) == F.col("_v")).drop("_v")
 
 
 def spearman(df: DataFrame, measures: list[str], outcome: str) -> DataFrame:
-    """(measure, n, rho, z) of each measure against the outcome; rho null for fewer than two rows or no variance."""
-    ranked = tied_ranks(df, outcome, "_outcome")
+    """(measure, n, rho, z) of each measure against the outcome; rho null for fewer than two rows or no variance.
+
+    Rows are counted by measure and outcome, and only such cells are ranked and summed. Ranks are taken from their
+    mean, which is half of the number of rows and one, so that sums of any number of rows keep their digits.
+    """
     found = None
     for measure in measures:
-        both = tied_ranks(ranked, measure, "_measure")
-        rho = F.try_divide(F.covar_samp("_measure", "_outcome"), F.stddev_samp("_measure") * F.stddev_samp("_outcome"))
-        one = both.agg(F.lit(measure).alias("measure"), F.count("*").alias("n"), rho.alias("rho"))
+        known = df.where(F.col(measure).isNotNull() & F.col(outcome).isNotNull())
+        cells = staged(known.groupBy(F.col(measure).alias("x"), F.col(outcome).alias("y")).agg(F.count("*").alias("w")), "cells")
+        middle = ((cells.agg(F.sum("w")).first()[0] or 0) + 1) / 2
+        ranked = tied_ranks(tied_ranks(cells, "x", "rx", F.col("w")), "y", "ry", F.col("w"))
+        x, y, w = F.col("rx") - middle, F.col("ry") - middle, F.col("w")
+        rho = F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
+        one = ranked.agg(F.lit(measure).alias("measure"), F.coalesce(F.sum("w"), F.lit(0)).alias("n"), rho.alias("rho"))
         found = one if found is None else found.unionByName(one)
     return found.withColumn("z", F.when((F.col("n") >= 4) & (F.abs("rho") < 1), F.atanh("rho") * F.sqrt((F.col("n") - 3) / F.lit(1.06))))
 
 
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0: a series of positive terms below 2, a continued fraction beyond."""
+
+    def term(s: Column, n: Column) -> Column:
+        nxt = s["term"] * 2 * x * x / (2 * n + 1)
+        return F.struct(nxt.alias("term"), (s["sum"] + nxt).alias("sum"))
+
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, term)["sum"]
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), F.lit(0.0), lambda f, n: n / F.lit(2.0) / (x + f))
+    scale = F.exp(-x * x) / F.lit(math.sqrt(math.pi))
+    return F.when(x < 2, 1 - 2 * scale * series).otherwise(scale / (x + fraction))
+
+
 def p_values(correlations: DataFrame) -> DataFrame:
     """Adds the two-sided p-value of z: null without rho, 0 where z isn't defined otherwise."""
-    @F.pandas_udf("double")
-    def tail(z):
-        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None)
-
-    return correlations.withColumn("p_value", F.when(F.col("rho").isNotNull(), F.coalesce(tail("z"), F.lit(0.0))))
+    p = erfc(F.abs("z") / F.lit(math.sqrt(2)))
+    return correlations.withColumn("p_value", F.when(F.col("rho").isNotNull(), F.coalesce(F.when(F.col("z").isNotNull(), p), F.lit(0.0))))
 
 
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,12 +69,12 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
-def logistic_fit(df: DataFrame, terms: list[str], outcome: str, by: str | None = None, rounds: int = 25, tolerance: float = 1e-8) -> list[dict]:
-    """Iteratively reweighted least squares: a list of {by, term, coefficient, se, z, odds_ratio, n}.
+def logistic_fit(df: DataFrame, terms: list[str], outcome: str, by: str | None = None, rounds: int = 100, tolerance: float = 1e-8) -> list[dict]:
+    """Iteratively reweighted least squares: a list of {group, term, coefficient, se, z, p_value, odds_ratio, n, log_likelihood}.
 
     Rows are first summed by distinct terms and outcome; every round is one aggregation of the weighted
     products (a few numbers for each group). Probabilities stay 1e-9 from 0 and 1; singular systems
-    use the pseudo-inverse.
+    use the pseudo-inverse. Groups are few (models): their coefficients are held by the driver.
     """
     group = [by] if by else []
     names = ["(Intercept)", *terms]
@@ -77,22 +96,24 @@ def logistic_fit(df: DataFrame, terms: list[str], outcome: str, by: str | None =
             weight = F.col("_n") * F.col("_p") * (1 - F.col("_p"))
             hessian = [F.sum(weight * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
             score = [F.sum(F.col("_n") * (F.col(outcome).cast("double") - F.col("_p")) * x[i]).alias(f"s{i}") for i in range(len(x))]
+            hit = F.col(outcome).cast("double")
+            likelihood = F.sum(F.col("_n") * (hit * F.log("_p") + (1 - hit) * F.log(1 - F.col("_p")))).alias("likelihood")
             moved = 0.0
-            for r in scored.groupBy(*group).agg(*hessian, *score, F.sum("_n").alias("n")).collect():
+            for r in scored.groupBy(*group).agg(*hessian, *score, F.sum("_n").alias("n"), likelihood).collect():
                 g = r[by] if by else None
                 h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(len(x))] for i in range(len(x))])
                 inverse = np.linalg.pinv(h)
                 step = inverse @ np.array([r[f"s{i}"] for i in range(len(x))])
                 beta[g] = beta[g] + step
                 moved = max(moved, float(np.abs(step).max()))
-                result[g] = (beta[g], np.sqrt(np.clip(np.diag(inverse), 0, None)), r["n"])
+                result[g] = (beta[g], np.sqrt(np.clip(np.diag(inverse), 0, None)), r["n"], r["likelihood"])
             if moved < tolerance:
                 break
     finally:
         cells.unpersist()
     return [
-        {"group": g, "term": t, "coefficient": float(b), "se": float(e), "z": float(b / e) if e else None, "odds_ratio": float(math.exp(min(700.0, b))), "n": n}
-        for g, (coefficients, errors, n) in result.items()
+        {"group": g, "term": t, "coefficient": float(b), "se": float(e), "z": float(b / e) if e else None, "p_value": math.erfc(abs(b / e) / math.sqrt(2)) if e else None, "odds_ratio": float(math.exp(min(700.0, b))), "n": n, "log_likelihood": float(likelihood)}
+        for g, (coefficients, errors, n, likelihood) in result.items()
         for t, b, e in zip(names, coefficients, errors)
     ]
 

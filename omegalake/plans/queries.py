@@ -115,10 +115,16 @@ def q08_success_by_min_equivalent(spark, d):
     return _rounded(rates.by_bucket(results(spark, d), _least_sizes(spark, d), F.col("least_size"), "size", ("model", "prompt_setting")), "success_rate")
 
 
+def _in_normal_form(formulas: DataFrame) -> DataFrame:
+    """Those in negation normal form, with their size; judged once for each distinct formula."""
+    tokens = lex.tokens(F.col("LTL"))
+    judged = formulas.select("LTL").distinct().select("LTL", lex.size(tokens).alias("size"), fm.is_nnf(tokens).alias("nnf"))
+    return formulas.join(judged.where("nnf").drop("nnf"), "LTL")
+
+
 @query(_bucket_sql(case("size", quoted=False), "formula_size", where=case("nnf", "d.t", False)))
 def q09_success_by_size_nnf(spark, d):
-    found = dataset(spark, d).withColumn("tokens", lex.tokens(F.col("LTL"))).where(fm.is_nnf(F.col("tokens")))
-    return _rounded(rates.by_bucket(results(spark, d), found, lex.size(F.col("tokens")), "formula_size", ("model", "prompt_setting")), "success_rate")
+    return _rounded(rates.by_bucket(results(spark, d), _in_normal_form(dataset(spark, d)), F.col("size"), "formula_size", ("model", "prompt_setting")), "success_rate")
 
 
 @query(f"SELECT CAST({_WORDS.format('natural_paraphrase')} AS INT) AS words, count(*) AS n FROM dataset GROUP BY 1")
@@ -128,8 +134,7 @@ def q10_nl_length_distribution(spark, d):
 
 @query(f"SELECT {case('size', quoted=False)} AS size, count(*) AS n FROM dataset WHERE {case('nnf', quoted=False)} GROUP BY 1")
 def q10_nnf_size_distribution(spark, d):
-    tokens = lex.tokens(F.col("LTL"))
-    return dataset(spark, d).where(fm.is_nnf(tokens)).groupBy(lex.size(tokens).alias("size")).agg(F.count("*").alias("n"))
+    return _in_normal_form(dataset(spark, d)).groupBy("size").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT model, formula_size, total, success, round(p, 9) AS success_rate, round(e, 9) AS standard_error, round(greatest(0, p - e), 9) AS low, round(least(1, p + e), 9) AS high FROM (
@@ -140,33 +145,37 @@ def q11_error_bands(spark, d):
 
 
 def _measures(spark, d):
-    own = dataset(spark, d).select(F.col("id").alias("record_id"), lex.size(lex.tokens(F.col("LTL"))).alias("size"), tx.word_count(F.col("natural_paraphrase")).alias("words"), "automaton_size")
+    own = _measured(_least_sizes(spark, d)).select(F.col("id").alias("record_id"), "size", tx.word_count(F.col("natural_paraphrase")).alias("words"), "least_size", F.col("m.temporal_depth").alias("nesting"), "automaton_size")
     return results(spark, d).withColumn("outcome", rates.success().cast("int")).join(own, "record_id")
 
 
+_NAMES = ["words", "size", "least_size", "nesting", "automaton_size"]
+
+
 def _rho_sql(measure: str) -> str:
     ranks = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
     return f"SELECT '{measure}' AS measure, count(*) AS n, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS rho FROM (SELECT {ranks.format(measure)} AS x, {ranks.format('outcome')} AS y FROM m)"
 
 
-_MEASURES = f"""m AS (SELECT r.*, ({_OK})::INT AS outcome, size, words, automaton_size FROM results r JOIN (SELECT id, {case("size", quoted=False)} AS size, {_WORDS.format("natural_paraphrase")} AS words, automaton_size FROM dataset) d ON record_id = d.id)"""
+_MEASURES = f"""m AS (SELECT r.*, ({_OK})::INT AS outcome, size, words, least_size, nesting, automaton_size FROM results r JOIN (SELECT id, {case("size", quoted=False)} AS size, {_WORDS.format("natural_paraphrase")} AS words, least_size, {case("temporal_depth", quoted=False)} AS nesting, automaton_size FROM ({_MIN_SIZE}) l) d ON record_id = d.id)"""
 
 
-@query(f"SELECT * FROM (WITH {_MEASURES} {' UNION ALL '.join(_rho_sql(m) for m in ('size', 'words', 'automaton_size'))})")
+@query(f"SELECT * FROM (WITH {_MEASURES} {' UNION ALL '.join(_rho_sql(m) for m in _NAMES)})")
 def q12_spearman(spark, d):
-    found = stats.spearman(_measures(spark, d).select("size", "words", "automaton_size", "outcome"), ["size", "words", "automaton_size"], "outcome")
+    found = stats.spearman(_measures(spark, d).select(*_NAMES, "outcome"), _NAMES, "outcome")
     return found.select("measure", "n", F.round("rho", 6).alias("rho"))
 
 
 @query()
 def q12_spearman_p_values(spark, d):
-    return stats.p_values(stats.spearman(_measures(spark, d).select("size", "words", "automaton_size", "outcome"), ["size", "words", "automaton_size"], "outcome"))
+    return stats.p_values(stats.spearman(_measures(spark, d).select(*_NAMES, "outcome"), _NAMES, "outcome"))
 
 
 @query()
 def q13_logistic_regression(spark, d):
-    measured = stats.standardized(_measures(spark, d).select("outcome", F.col("size").cast("double"), F.col("automaton_size").cast("double")), ["size", "automaton_size"])
-    return spark.createDataFrame([{k: v for k, v in r.items() if k != "group"} for r in stats.logistic_fit(measured, ["size", "automaton_size"], "outcome")])
+    measured = stats.standardized(_measures(spark, d).select("outcome", *(F.col(c).cast("double").alias(c) for c in _NAMES)), _NAMES)
+    fitted = [tuple(v for k, v in r.items() if k != "group") for r in stats.logistic_fit(measured, _NAMES, "outcome")]
+    return spark.createDataFrame(fitted, "term string, coefficient double, se double, z double, p_value double, odds_ratio double, n long, log_likelihood double")
 
 
 @query()

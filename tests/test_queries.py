@@ -34,6 +34,74 @@ def test_logistic_against_closed_form(spark):
         stats.scaling_law(df)
 
 
+def test_logistic_against_newton(spark, sf_dir):
+    """q13 against plain Newton steps over all rows by numpy."""
+    import math
+
+    import numpy as np
+
+    from omegalake.plans import queries as q
+
+    own = q._measures(spark, sf_dir).select(*q._NAMES, "outcome").toPandas().astype(float)
+    x = own[q._NAMES].to_numpy()
+    spread = x.std(axis=0, ddof=1)
+    x = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1)])
+    y, beta = own["outcome"].to_numpy(), np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        h = x.T @ (x * (p * (1 - p))[:, None])
+        beta += np.linalg.pinv(h) @ x.T @ (y - p)
+    found = QUERIES["q13_logistic_regression"](spark, sf_dir).collect()
+    assert [r["term"] for r in found] == ["(Intercept)", *q._NAMES]
+    for r, b, e in zip(found, beta, np.sqrt(np.diag(np.linalg.pinv(h)))):
+        assert r["coefficient"] == pytest.approx(b, abs=1e-6) and r["se"] == pytest.approx(e, rel=1e-4, abs=1e-9)
+        assert r["p_value"] == (pytest.approx(math.erfc(abs(b / e) / 2**0.5), abs=1e-5) if e > 1e-9 else None)
+    assert found[0]["log_likelihood"] == pytest.approx(float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), rel=1e-9)
+
+
+def test_p_values_against_the_library(spark, sf_dir):
+    import math
+
+    for r in QUERIES["q12_spearman_p_values"](spark, sf_dir).collect():
+        assert (r["p_value"] is None) == (r["rho"] is None)
+        assert r["rho"] is None or r["p_value"] == pytest.approx(math.erfc(abs(r["z"]) / 2**0.5), rel=1e-9)
+    from pyspark.sql import functions as F
+
+    from omegalake.operators import stats
+
+    xs = [0.0, 0.01, 0.5, 1.0, 1.99, 2.0, 2.01, 3.5, 6.0, 12.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("e")).collect()
+    assert all(r.e == pytest.approx(math.erfc(r.x), rel=1e-10) for r in got)
+
+
+def test_normal_form_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from omegalake.functions import formulas, lex
+
+    deep = "prop_1"
+    for k in range(40):
+        deep = f"(X ({deep}))" if k % 2 else f"({deep} & prop_2)"
+    rows = [(deep, True), (deep.replace("prop_1", "!(prop_1)", 1), True), (deep.replace("prop_1", "!(X prop_1)", 1), False), ("", False), ("(a", False)]
+    df = spark.createDataFrame(rows, "f string, wanted boolean").withColumn("got", formulas.is_nnf(lex.tokens(F.col("f"))))
+    assert [r.got for r in df.collect()] == [w for _, w in rows]
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from omegalake.operators import keyed
+
+    df = spark.createDataFrame([(k, f" f{k % 3}") for k in range(7)], "pos long, LTL string")
+    for c in ("part", "own", "row", "value", "whole", "shift", "key", "at", "_key", "_part", "_n", "_p"):
+        df = df.withColumn(c, F.lit(5))
+    total = keyed.running_total(df, ["pos"], F.col("value"), "total")
+    assert [r.total for r in total.orderBy("pos").collect()] == [5 * (k + 1) for k in range(7)]
+    assert sorted(r.id for r in keyed.sequential_ids(df, ["pos"]).collect()) == list(range(1, 8))
+    fresh = keyed.append_new(df.where("pos = 0"), df)
+    assert fresh.columns == df.columns and sorted(r.pos for r in fresh.collect()) == [1, 2]
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
