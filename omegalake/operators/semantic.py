@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.formulas import ltl_equivalent, ltl_metrics, ltl_signature
 from ..shared import staged
@@ -41,21 +42,51 @@ def class_sizes(formulas: DataFrame, text: str = "LTL", pos: str = "pos") -> Dat
     return classes(formulas, text, pos).join(rows, "formula").groupBy("class_leader").agg(F.count("*").alias("n_formulas"), F.sum("n").alias("n_rows"))
 
 
+def _merged(existing: DataFrame, new: DataFrame, text: str, pos: str) -> tuple[DataFrame, int]:
+    """Both, new records after all existing ones, and the last place of those."""
+    last = existing.agg(F.coalesce(F.max(pos), F.lit(0))).first()[0]
+    shifted = new.withColumn(pos, F.col(pos) + F.lit(last))
+    return staged(existing.unionByName(shifted, allowMissingColumns=True), "records"), last
+
+
 def upsert(existing: DataFrame, new: DataFrame, text: str = "LTL", pos: str = "pos") -> DataFrame:
     """One record for each class: at the place of its first record, that with the smallest preference.
 
     Columns of ``existing``; new records come after all existing ones. Among equal preferences the
     earlier record stays. Records are to be renumbered by ``pos`` afterwards.
     """
-    last = existing.agg(F.coalesce(F.max(pos), F.lit(0))).first()[0]
-    shifted = new.withColumn(pos, F.col(pos) + F.lit(last))
-    both = staged(existing.unionByName(shifted, allowMissingColumns=True), "records")
+    both, _ = _merged(existing, new, text, pos)
     grouped = both.join(classes(both, text, pos), F.col(text) == F.col("formula")).withColumn("_m", ltl_metrics(text)["preference"])
     row = F.struct(*(F.col(f"`{c}`") for c in both.columns))
     best = grouped.groupBy("class_leader").agg(F.min_by(row, F.struct("_m", pos)).alias("_row"), F.min(pos).alias("_pos"))
     return best.select(*(F.col("_pos").alias(c) if c == pos else F.col(f"_row.`{c}`").alias(c) for c in both.columns))
 
 
+#: Places of records that one task looks at in order.
+ORDERED = 10_000
+
+
+def merge_outcomes(existing: DataFrame, new: DataFrame, text: str = "LTL", pos: str = "pos") -> DataFrame:
+    """(pos, outcome) of each new record with a text, ``upsert`` taking them one after the other.
+
+    inserted: no earlier record means the same; replaced: it is preferred to all earlier ones of its class; else
+    skipped. ``pos`` tells new records apart. The least preference before a record is taken over whole ranges of places
+    first, so a class that very many records share isn't ordered by one task.
+    """
+    both, last = _merged(existing, new, text, pos)
+    records = both.select(F.col(pos).alias("at"), F.col(text).alias("formula"))
+    metrics = records.select("formula").distinct().withColumn("preference", ltl_metrics("formula")["preference"])
+    known = classes(both, text, pos).join(metrics, "formula")
+    placed = staged(records.join(known, "formula").withColumn("range", F.floor(F.col("at") / ORDERED)), "placed-records")
+    within = Window.partitionBy("class_leader", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("class_leader").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("class_leader", "range").agg(F.min("preference").alias("least")).withColumn("before", F.min("least").over(over))
+    judged = placed.withColumn("own", F.min("preference").over(within)).join(ranges.drop("least"), ["class_leader", "range"])
+    earlier = F.least("own", "before")
+    outcome = F.when(earlier.isNull(), "inserted").when(F.col("preference") < earlier, "replaced").otherwise("skipped")
+    return judged.where(F.col("at") > last).select((F.col("at") - last).alias(pos), outcome.alias("outcome"))
+
+
 def filter_formulas(formulas: DataFrame, text: str = "LTL", pos: str = "pos", mode: str = "normalized", temporal: bool = True) -> DataFrame:
     """Adds ``reasons`` (trivial, non_temporal, unsatisfiable, redundant; empty if accepted) and ``accepted_form``.
 

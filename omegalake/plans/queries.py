@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fm
 from ..functions import lex, providers
 from ..functions import text as tx
 from ..operators import edits, keyed, rates, semantic, stats
-from . import corpora
-from .benchmark import MODELS, case, dataset, oracle, results
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = oracle(sql)
-        return f
-
-    return register
-
+from . import corpora, files  # noqa: F401  (files registers its own queries)
+from .benchmark import MODELS, case, dataset, results
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
@@ -226,7 +210,8 @@ def q18_semantic_groups(spark, d):
     return semantic.class_sizes(_with_variants(spark, d)).orderBy(F.desc("n_rows"), "class_leader")
 
 
-@query()
+# Published figures of that corpus, but for the largest number of propositions (given as 3): one of the formulas has four.
+@query("SELECT CAST(43 AS BIGINT) AS total, CAST(42 AS BIGINT) AS unique_non_trivial, CAST(33 AS INT) AS max_size, CAST(4 AS INT) AS max_propositions, CAST(6 AS INT) AS max_temporal_depth, CAST(0 AS BIGINT) AS unread")
 def q19_corpus_summary(spark, d):
     return corpora.summary(spark)
 
@@ -385,6 +370,14 @@ def r_semantic_upsert(spark, d):
     return semantic.upsert(own.where("pos < 100"), own.where("pos >= 100").withColumn("pos", F.col("pos") - 99))
 
 
+@query(f"""WITH {_VARIANTS}, p AS (SELECT pos, key, CASE WHEN (f = key) = (t NOT IN (7, 11)) THEN 0 ELSE 1 END AS pref FROM v),
+m AS (SELECT *, min(pref) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM p)
+SELECT CASE WHEN earlier IS NULL THEN 'inserted' WHEN pref < earlier THEN 'replaced' ELSE 'skipped' END AS outcome, count(*) AS n FROM m WHERE pos >= 30 GROUP BY 1""")
+def r_merge_outcomes(spark, d):
+    own = _with_variants(spark, d).select("pos", "LTL")
+    return semantic.merge_outcomes(own.where("pos < 30"), own.where("pos >= 30").withColumn("pos", F.col("pos") - 29)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_VARIANTS} SELECT DISTINCT f AS formula, arg_min(f, pos) OVER (PARTITION BY key) AS class_leader FROM v")
 def r_equivalence_classes(spark, d):
     return semantic.classes(_with_variants(spark, d))

@@ -25,6 +25,25 @@ def write_array(df: DataFrame, path: str, pos: str = "pos") -> None:
     df.agg(F.to_json(listed, {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _in_files(df: DataFrame, header: tuple[str, ...], pos: str, places: int) -> DataFrame:
+    """A row for each file to be: the header's columns and ``results``, the records in order of ``pos``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (*header, pos)))
+    placed = df.select(*header, F.floor(F.col(pos) / places).alias("file"), F.struct(F.col(pos).alias("at"), row.alias("record")).alias("placed"))
+    listed = F.transform(F.sort_array(F.collect_list("placed")), lambda p: p["record"])
+    return placed.groupBy(*header, "file").agg(listed.alias("results")).drop("file")
+
+
+def write_results(df: DataFrame, path: str, header: tuple[str, ...] = ("translation_model", "prompt_setting"), pos: str = "pos", places: int = 10_000) -> None:
+    """Result files: each an object with a header and ``results``, for at most ``places`` numbers ``pos`` (which differ from row to row)."""
+    _in_files(df, header, pos, places).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+def write_arrays(df: DataFrame, path: str, pos: str = "pos", places: int = 10_000) -> None:
+    """Files with one JSON array each, for at most ``places`` numbers ``pos`` (which differ from row to row)."""
+    listed = _in_files(df, (), pos, places).select(F.to_json("results").alias("value"))
+    listed.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def append_log(df: DataFrame, path: str, by: tuple[str, ...] = ("translation_model",)) -> None:
     """Appends entries; a run that stops keeps what was written before, and ``keyed.not_done`` finds the rest."""
     df.write.mode("append").partitionBy(*by).parquet(path)
