@@ -52,8 +52,10 @@ def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 def unreadable_results(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]").select("value", F.col("_metadata.file_path").alias("results_path"))
-    good = F.coalesce(F.from_json("value", ENVELOPE)["results"].isNotNull(), F.lit(False)) | F.coalesce(F.from_json("value", T.ArrayType(ENTRY)).isNotNull(), F.lit(False))
-    return files.where(~good).select("results_path")
+    # Read as an array, a single object would be taken for its only entry.
+    bare = F.ltrim("value").startswith("[")
+    entries = F.when(bare, F.from_json("value", T.ArrayType(ENTRY))).otherwise(F.from_json("value", ENVELOPE)["results"])
+    return files.where(entries.isNull()).select("results_path")
 
 
 def result_files(spark: SparkSession, folder: str) -> DataFrame:
