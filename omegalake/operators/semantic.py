@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from ..functions.formulas import ltl_equivalent, ltl_metrics, ltl_signature
 from ..shared import staged
-from .keyed import first_per_key
 
 
 def classes(formulas: DataFrame, text: str = "LTL", pos: str = "pos") -> DataFrame:
@@ -92,17 +91,17 @@ def filter_formulas(formulas: DataFrame, text: str = "LTL", pos: str = "pos", mo
 
     mode: what makes formulas redundant, the exact text or the text with canonical names. A formula whose only
     reason is that it is trivial is tried again in its simplified form. A formula is redundant if an
-    earlier accepted one has the same key.
+    earlier accepted one has the same key. Each distinct formula is measured once; those that don't parse, and null ones, go.
     """
-    m = ltl_metrics(F.col(text))
-    found = formulas.withColumn("_m", m).where("not _m.parse_error")
-    key = F.col("_m.rendered") if mode == "exact" else F.col("_m.normalized")
-    reasons = F.array_compact(F.array(F.when(F.col("_m.is_trivial"), F.lit("trivial")), F.when(F.lit(temporal) & ~F.col("_m.is_temporal"), F.lit("non_temporal")), F.when(F.col("_m.looks_unsatisfiable"), F.lit("unsatisfiable"))))
-    own = found.withColumn("_key", key).withColumn("_own", reasons)
-    again = (F.size("_own") == 1) & (F.get("_own", F.lit(0)) == "trivial") & ~ltl_metrics(F.col("_m.simplified"))["is_trivial"]
-    judged = staged(own.withColumn("_own", F.when(again, F.array().cast("array<string>")).otherwise(F.col("_own"))), "judged-formulas")
-    first = first_per_key(judged.where(F.size("_own") == 0).select("_key", F.col(pos).alias("_first")), ["_key"], "_first")
-    joined = judged.join(first, "_key", "left")
-    redundant = F.col("_first") < F.col(pos)
-    allof = F.when(redundant, F.array_append("_own", F.lit("redundant"))).otherwise(F.col("_own"))
-    return joined.withColumn("reasons", allof).withColumn("accepted_form", F.when(F.size("reasons") == 0, F.col("_m.selected"))).drop("_key", "_own", "_first", "_m")
+    distinct = formulas.select(F.col(text).alias("formula")).distinct().withColumn("m", ltl_metrics("formula")).where("not m.parse_error")
+    key = F.col("m.rendered") if mode == "exact" else F.col("m.normalized")
+    reasons = F.array_compact(F.array(F.when(F.col("m.is_trivial"), F.lit("trivial")), F.when(F.lit(temporal) & ~F.col("m.is_temporal"), F.lit("non_temporal")), F.when(F.col("m.looks_unsatisfiable"), F.lit("unsatisfiable"))))
+    own = distinct.select("formula", key.alias("key"), reasons.alias("own"), F.col("m.selected").alias("selected"), F.col("m.simplified").alias("simplified"))
+    again = (F.size("own") == 1) & (F.get("own", F.lit(0)) == "trivial") & ~ltl_metrics("simplified")["is_trivial"]
+    judged = staged(own.select("formula", "key", "selected", F.when(again, F.array().cast("array<string>")).otherwise(F.col("own")).alias("own")), "judged-formulas")
+    columns = [c for c in formulas.columns if c not in ("reasons", "accepted_form")]
+    rows = formulas.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text).alias("formula"), F.col(pos).alias("at")).join(judged, "formula")
+    first = rows.where(F.size("own") == 0).groupBy("key").agg(F.min("at").alias("first"))
+    redundant = F.col("first") < F.col("at")
+    joined = rows.join(first, "key", "left").withColumn("reasons", F.when(redundant, F.array_append("own", F.lit("redundant"))).otherwise(F.col("own")))
+    return joined.select("row.*", "reasons", F.when(F.size("reasons") == 0, F.col("selected")).alias("accepted_form"))

@@ -136,9 +136,9 @@ def _measures(spark, d):
 _NAMES = ["words", "size", "least_size", "nesting", "automaton_size"]
 
 
-def _rho_sql(measure: str) -> str:
+def _rho_sql(measure: str, digits: int = 6) -> str:
     ranks = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
-    return f"SELECT '{measure}' AS measure, count(*) AS n, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS rho FROM (SELECT {ranks.format(measure)} AS x, {ranks.format('outcome')} AS y FROM m)"
+    return f"SELECT '{measure}' AS measure, count(*) AS n, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), {digits}) AS rho FROM (SELECT {ranks.format(measure)} AS x, {ranks.format('outcome')} AS y FROM m)"
 
 
 _MEASURES = f"""m AS (SELECT r.*, ({_OK})::INT AS outcome, size, words, least_size, nesting, automaton_size FROM results r JOIN (SELECT id, {case("size", quoted=False)} AS size, {_WORDS.format("natural_paraphrase")} AS words, least_size, {case("temporal_depth", quoted=False)} AS nesting, automaton_size FROM ({_MIN_SIZE}) l) d ON record_id = d.id)"""
@@ -150,9 +150,16 @@ def q12_spearman(spark, d):
     return found.select("measure", "n", F.round("rho", 6).alias("rho"))
 
 
-@query()
+#: Simpson's rule for the error function, in steps of a two-thousandth of x.
+_ERF_SQL = "2 / sqrt(pi()) * x / 6000 * list_sum(list_transform(range(2001), lambda k: (CASE WHEN k % 2000 = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(x * k / 2000) * (x * k / 2000))))"
+
+
+@query(f"""SELECT measure, n, round(rho, 6) AS rho, round(z, 6) AS z, CASE WHEN rho IS NOT NULL THEN coalesce(round(1 - {_ERF_SQL}, 6), 0) END AS p_value FROM (
+SELECT *, abs(z) / sqrt(2) AS x FROM (SELECT *, CASE WHEN n >= 4 AND abs(rho) < 1 THEN ln((1 + rho) / (1 - rho)) / 2 * sqrt((n - 3) / 1.06) END AS z FROM (
+WITH {_MEASURES} {' UNION ALL '.join(_rho_sql(m, 15) for m in _NAMES)})))""")
 def q12_spearman_p_values(spark, d):
-    return stats.p_values(stats.spearman(_measures(spark, d).select(*_NAMES, "outcome"), _NAMES, "outcome"))
+    found = stats.p_values(stats.spearman(_measures(spark, d).select(*_NAMES, "outcome"), _NAMES, "outcome"))
+    return found.select("measure", "n", *(F.round(c, 6).alias(c) for c in ("rho", "z", "p_value")))
 
 
 @query()
@@ -162,10 +169,22 @@ def q13_logistic_regression(spark, d):
     return spark.createDataFrame(fitted, "term string, coefficient double, se double, z double, p_value double, odds_ratio double, n long, log_likelihood double")
 
 
-@query()
+_LAW_SIZES = (5, 20, 40)
+
+
+# Thirty of Newton's steps from zero, on counts of each size and outcome.
+@query(f"""SELECT model, round(b0, 6) AS beta0, round(b1, 6) AS beta1, CAST(total AS BIGINT) AS n, round(-b0 / b1, 3) AS size50, {", ".join(f"round(1 / (1 + exp(-b0 - b1 * {s})), 6) AS p_size_{s}" for s in _LAW_SIZES)} FROM (
+WITH RECURSIVE cells AS (SELECT model, automaton_size AS x, ({_OK})::INT AS y, count(*) AS n FROM results JOIN dataset ON record_id = id GROUP BY 1, 2, 3),
+fit(model, k, b0, b1, total) AS (
+  SELECT model, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), sum(n) FROM cells GROUP BY model UNION ALL
+  SELECT model, k + 1, b0 + (h11 * s0 - h01 * s1) / (h00 * h11 - h01 * h01), b1 + (h00 * s1 - h01 * s0) / (h00 * h11 - h01 * h01), total FROM (
+    SELECT model, k, b0, b1, total, sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) AS h11, sum(n * (y - p)) AS s0, sum(n * (y - p) * x) AS s1
+    FROM (SELECT f.*, x, y, n, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM fit f JOIN cells c ON f.model = c.model WHERE k < 30) GROUP BY model, k, b0, b1, total))
+SELECT * FROM fit WHERE k = 30)""")
 def q14_scaling_law(spark, d):
     measured = _measures(spark, d).select("model", F.col("automaton_size").alias("ast_size"), F.col("outcome").alias("success"))
-    return stats.predicted_success(stats.scaling_law(measured), [5, 20, 40])
+    found = stats.predicted_success(stats.scaling_law(measured), list(_LAW_SIZES))
+    return found.select("model", "n", F.round("size50", 3).alias("size50"), *(F.round(c, 6).alias(c) for c in found.columns if c not in ("model", "n", "size50")))
 
 
 @query(f"SELECT model, automaton_size AS ast_size, count(*) AS n, round(avg(({_OK})::INT), 9) AS mean_success FROM results JOIN dataset ON record_id = id GROUP BY 1, 2")
@@ -408,9 +427,10 @@ def r_provider_answers(spark, d):
     return events.select("event_id", providers.answer(kind, shown).alias("answer"))
 
 
-@query()
+# Two records of one template have the same form but for the names; none is trivial or without temporal operators.
+@query("""SELECT pos, LTL, CASE WHEN first < pos THEN 'redundant' ELSE '' END AS reasons, CASE WHEN first = pos THEN LTL END AS accepted_form FROM (SELECT *, min(pos) OVER (PARTITION BY t) AS first FROM dataset)""")
 def r_filter_formulas(spark, d):
-    return semantic.filter_formulas(dataset(spark, d).select("pos", "LTL"))
+    return semantic.filter_formulas(dataset(spark, d).select("pos", "LTL")).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query()
