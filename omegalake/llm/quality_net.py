@@ -175,11 +175,11 @@ def fold(key: str = "doc_id"):
 def fit_on_labels(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> QualityNet:
     """Fits on at most ``rows`` labelled documents that are not held out, of at most SAMPLE_BYTES each.
 
-    The sample is fixed by the ids' checksums; of documents with one id that with the smallest text is taken. Rows without id or label are left out; without
-    any labelled row the net stays as it is made.
+    The sample is fixed by the ids' checksums; of documents with one id that with the smallest text is taken, of its labels the
+    smallest. Rows without id or label are left out; without any labelled row the net stays as it is made.
     """
     known = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    chosen = known.where(fold("k") != HELD_OUT).dropDuplicates(["k"]).orderBy(F.crc32(F.col("k").cast("string")), "k").limit(rows)
+    chosen = known.where(fold("k") != HELD_OUT).groupBy("k").agg(F.min("y").alias("y")).orderBy(F.crc32(F.col("k").cast("string")), "k").limit(rows)
     own = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
     # At most ``rows`` keys, and one text of bounded length for each.
     sample = sorted(own.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect())

@@ -211,6 +211,10 @@ def test_quality_edges(spark, awkward, empty):
     assert quality_net.score(empty, net).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert np.array_equal(quality_net.fit_on_labels(awkward, labels).filters, net.filters)
+    # Of several labels of an id the smallest counts, whatever the order of rows.
+    twice = [(4, 1, 0), (4, 0, 0), (6, 1, 0), (None, 1, 0), (7, None, 0)]
+    nets = [quality_net.fit_on_labels(awkward, spark.createDataFrame(rows, labels.schema)) for rows in (twice, twice[::-1], [(4, 0, 0), (6, 1, 0)])]
+    assert all(np.array_equal(n.filters, nets[2].filters) for n in nets)
 
 
 # 3: hash forest.
