@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, hash_forest, html_extract, license_scan, packing, quality_net, quality_rules, quote_linking, simhash, token_shards
+from . import byte_bpe, conversation_repair, hash_forest, html_extract, license_scan, packing, quality_net, quality_rules, quote_linking, simhash, token_shards, url_filter
 from .common import fresh_path, table
 
 
@@ -56,6 +56,15 @@ def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_linking.as_conversations(quote_linking.link_quotes(table(spark, sf_dir, "conversations"), nested=True))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.reports(conversation_repair.damaged(conversations), conversations)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_quality_net": op2_quality_net,
@@ -67,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_html_extract": op9_html_extract,
     "op10_quote_linking": op10_quote_linking,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_url_filter": op12_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.ORACLE_SQL, "op6_line_first_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.ORACLE_SQL, "op6_line_first_rules": quality_rules.ORACLE_SQL, "op12_url_filter": url_filter.ORACLE_SQL}
