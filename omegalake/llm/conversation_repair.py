@@ -196,26 +196,31 @@ def _folded(tables: DataFrame) -> DataFrame:
 
 
 def _pieces(whole: DataFrame) -> DataFrame:
-    """(conv, audit, sizes) -> (conv, block, piece, before): the audit cut where blocks end, with the number of messages before."""
-    schema = f"conv {whole.schema['conv'].dataType.simpleString()}, block long, piece string, before long"
+    """(conv, gaps, counts, cost, audit, sizes) -> a row for each block, with its piece of the audit and the number of messages before.
+
+    The counts come with every piece, the audit with the first.
+    """
+    fields = [("_conv", pa.int64()), ("_block", pa.int64()), ("piece", pa.string()), ("before", pa.int64()), ("odd", pa.int64()), ("blocks", pa.int64()), *((c, pa.int64()) for c in ("gaps", *_COUNTS, "cost")), ("audit", pa.string())]
+    kind = whole.schema["conv"].dataType.simpleString()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            schema = pa.schema([("_conv", batch.schema.field("conv").type), *fields[1:]])
             for r in batch.to_pylist():
-                at = before = 0
+                found, at, before, audit = [], 0, 0, r["audit"]
+                told = {c: r[c] for c in ("gaps", *_COUNTS, "cost")} | {"_conv": r["conv"], "blocks": len(r["sizes"]), "odd": (len(audit) - audit.count("D")) % 2}
                 for here in r["sizes"]:
                     end, left = at, here["n"]
                     while left:
-                        left -= r["audit"][end] != "I"
+                        left -= audit[end] != "I"
                         end += 1
-                    end = len(r["audit"]) if here is r["sizes"][-1] else end
-                    piece, at = r["audit"][at:end], end
-                    found.append({"conv": r["conv"], "block": here["block"], "piece": piece, "before": before})
+                    end = len(audit) if here is r["sizes"][-1] else end
+                    piece, at = audit[at:end], end
+                    found.append(told | {"_block": here["block"], "piece": piece, "before": before, "audit": None if here["block"] else audit})
                     before += len(piece) - piece.count("D")
-            yield pa.RecordBatch.from_pylist(found, pa.schema([("conv", batch.schema.field("conv").type), ("block", pa.int64()), ("piece", pa.string()), ("before", pa.int64())]))
+                yield pa.RecordBatch.from_pylist(found, schema)
 
-    return whole.mapInArrow(cut, schema)
+    return whole.mapInArrow(cut, f"_conv {kind}, _block long, piece string, {', '.join(f'{n} long' for n, _ in fields[3:-1])}, audit string")
 
 
 def _repaired_long(rows: DataFrame, most: int) -> DataFrame:
@@ -236,12 +241,9 @@ def _repaired_long(rows: DataFrame, most: int) -> DataFrame:
         F.min("low").alias("low"), F.max("high").alias("high"), F.sort_array(F.collect_list("here")).alias("sizes"),
     )
     reports = staged(reports.join(best, F.col("conv").eqNullSafe(F.col("_conv"))).select("conv", F.expr(_GAPS), *_COUNTS, "best.cost", "best.audit", "sizes"), "repair-reports")
-    pieces = _pieces(reports.select("conv", "audit", "sizes")).withColumnsRenamed({"conv": "_conv", "block": "_block"})
-    told = reports.select(F.col("conv").alias("_of"), "gaps", *_COUNTS, "cost", "audit", F.size("sizes").cast("long").alias("blocks"), (_outputs(F.col("audit")) % 2).cast("long").alias("odd"))
-    whole = pieces.join(told, F.col("_conv").eqNullSafe(F.col("_of"))).drop("_of")
-    joined = blocks.select("conv", "block", "rows").join(whole, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")))
+    joined = blocks.select("conv", "block", "rows").join(_pieces(reports), F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")))
     scripted = joined.withColumn("script", F.arrow_udf(_scripts, _MESSAGE)("piece", "before", "odd"))
-    return scripted.select("conv", "block", "blocks", "gaps", *_COUNTS, "cost", F.when(F.col("block") == 0, F.col("audit")).alias("audit"), _messages("script", "rows").alias("messages"))
+    return scripted.select("conv", "block", "blocks", "gaps", *_COUNTS, "cost", "audit", _messages("script", "rows").alias("messages"))
 
 
 def _repaired(conversations: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversation_repair, hash_forest, html_extract, license_scan, packing, quality_net, quality_rules, quote_linking, simhash, token_shards, url_filter
+from . import byte_bpe, conversation_repair, hash_forest, html_extract, license_scan, packing, prefix_trie, quality_net, quality_rules, quote_linking, simhash, token_shards, url_filter
 from .common import fresh_path, table
 
 
@@ -65,6 +65,10 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_quality_net": op2_quality_net,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quote_linking": op10_quote_linking,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_url_filter": op12_url_filter,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.ORACLE_SQL, "op6_line_first_rules": quality_rules.ORACLE_SQL, "op12_url_filter": url_filter.ORACLE_SQL}
