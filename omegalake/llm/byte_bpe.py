@@ -175,9 +175,12 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        self._bytes = [b""] * (max(self.ranks.values()) + 1)
+        own = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self._bytes[rank] = token
+            own[rank] = token
+        self._pool = np.frombuffer(b"".join(own), np.uint8)
+        self._lengths = np.array([len(x) for x in own], np.int64)
+        self._starts = np.cumsum(self._lengths) - self._lengths
         self._known: dict[bytes, bytes] = {}
 
     def _merged(self, piece: bytes) -> list[int]:
@@ -243,14 +246,21 @@ class ByteBpe:
         get = known.__getitem__
         return [b"".join(map(get, own)) for own in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        found, own = np.frombuffer(ids, "<u4"), self._bytes.__getitem__
-        return b"".join(b"".join(map(own, found[at : at + BATCH_CHARS].tolist())) for at in range(0, len(found), BATCH_CHARS))
+    def decode(self, ids: bytes, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes of each id, put where its offset says; without offsets, one after the other."""
+        found = np.frombuffer(ids, "<u4")
+        offsets = self.offsets(ids) if offsets is None else offsets
+        text = np.empty(int(offsets[-1]), np.uint8)
+        for at in range(0, len(found), BATCH_CHARS):
+            some = found[at : at + BATCH_CHARS]
+            lengths = self._lengths[some]
+            within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            text[np.repeat(offsets[at : at + len(some)], lengths) + within] = self._pool[np.repeat(self._starts[some], lengths) + within]
+        return text.tobytes()
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """Where each id's bytes start in the text, and the text's length in bytes at last."""
-        lengths = np.array([len(self._bytes[k]) for k in np.frombuffer(ids, "<u4").tolist()], np.int64)
-        return np.concatenate([[0], np.cumsum(lengths)])
+        return np.concatenate([[0], np.cumsum(self._lengths[np.frombuffer(ids, "<u4")])])
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -301,7 +311,10 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text; the ids are decoded again in the same task."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes) of every whole text.
+
+    The offsets are kept with the ids, which are decoded again by them in the same task. n_bytes: where the last offset ends.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
@@ -309,8 +322,9 @@ def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "tex
             at = 0
             for group in _groups(batch.column(1)):
                 ids = bpe.encode(group)
-                columns = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                offsets = [bpe.offsets(x) for x in ids]
+                columns = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x, o)).hexdigest() for x, o in zip(ids, offsets)], [int(o[-1]) for o in offsets]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
                 at += len(group)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

@@ -202,20 +202,20 @@ def pack(pieces: DataFrame, *, size: int = 1024) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of 1 to ``size`` tokens in ``length``.
 
     Every piece is placed; a sequence's pieces lie one after the other from offset 0. Repeated
-    rows are separate pieces. The pieces must give the same rows each time they are read (a
-    table, not a plan with random parts). No pieces: no rows.
+    rows are separate pieces: rows are numbered in the table that is kept in the shared folder, and dealt by number, so
+    equal ones are spread over as many tasks as others. No pieces: no rows.
     """
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = Plan(histogram, size)
-    parts_of = F.array(*(F.lit(-(-histogram.get(n, 1) // RANKED_TOGETHER)) for n in range(1, size + 1)))
-    row = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
     # The pieces' own columns travel in one, so that no name of theirs meets one of these.
     own = F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("own")
-    dealt = pieces.select(own, F.col("length"), F.pmod(row, F.element_at(parts_of, F.col("length").cast("int"))).alias("part"))
+    numbered = staged(pieces.select(own, F.col("length").alias("length"), F.monotonically_increasing_id().alias("row")), "pieces")
+    histogram = {r["length"]: r["n"] for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan = Plan(histogram, size)
+    parts_of = F.array(*(F.lit(-(-histogram.get(n, 1) // RANKED_TOGETHER)) for n in range(1, size + 1)))
+    dealt = numbered.withColumn("part", F.pmod(F.xxhash64("row"), F.element_at(parts_of, F.col("length").cast("int"))))
     parts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "part").orderBy("own.doc_id", "own.piece", "own.start", "own.ids_crc32")
+    within = Window.partitionBy("length", "part").orderBy("row")
     # The pieces lie by (length, part) already, so the join moves only the few bases.
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "part"])
     ranked = ranked.select("own.*", (F.col("base") + F.col("rank")).alias(unused("rank", pieces.columns)))
@@ -234,7 +234,5 @@ def pack(pieces: DataFrame, *, size: int = 1024) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """Cuts and packs documents; encoded once, the pieces are kept in the shared folder."""
-    size = options.get("size", 1024)
     with arrow_rows(docs.sparkSession, TEXTS_A_STEP):
-        pieces = staged(cut_pieces(docs, vocabulary, **options), "pieces")
-    return pack(pieces, size=size)
+        return pack(cut_pieces(docs, vocabulary, **options), size=options.get("size", 1024))

@@ -528,13 +528,41 @@ def test_bpe_edges(spark, awkward, empty):
         texts[k].add(hashlib.sha256(t.encode()).hexdigest())
     assert len(got) == awkward.count() and all(r.decoded_sha256 in texts[r.doc_id] for r in got)
     assert byte_bpe.digests(empty, MULTI).count() == 0
+    assert sum(r.n_bytes for r in got) == sum(len(t.encode()) for _, t in _rows(awkward))
     encoded = byte_bpe.encode_documents(awkward, MULTI)
     assert sorted(bytes(r.text) for r in byte_bpe.decode_documents(encoded, MULTI).collect()) == sorted(t.encode() for _, t in _rows(awkward))
 
 
+def test_offsets_are_those_of_the_library():
+    import tiktoken
+
+    bpe = byte_bpe.ByteBpe(MULTI)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    for t in [t or "" for t in TEXTS] + _fuzz(300, 8, ["é", "漢字", "🙂"]) + ["ab 漢 " * 60_000]:
+        ids = bpe.encode([t])[0]
+        offsets, data = bpe.offsets(ids), t.encode()
+        text, chars = library.decode_with_offsets(np.frombuffer(ids, "<u4").tolist())
+        assert text == t and bpe.decode(ids, offsets) == data == bpe.decode(ids)
+        leads = np.concatenate([[0], np.cumsum([(b & 0xC0) != 0x80 for b in data])]).astype(int)
+        assert [leads[o] - ((data[o] & 0xC0) == 0x80) for o in offsets[:-1]] == chars
+
+
 # 8: packing.
 
 
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 1000)
+    rows = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(7).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    monkeypatch.setattr(packing, "staged", lambda df, label: taken.setdefault(label, common.staged(df, label)))
+    packed = packing.pack(rows)
+    pieces = taken["pieces"]
+    assert pieces.groupBy(F.pmod(F.xxhash64("row"), F.lit(200)).alias("part")).count().agg(F.count("*"), F.max("count") < 1300).first() == (200, True)
+    places = packed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("d")).collect()
+    assert sum(r.n for r in places) == 200_000 and all(r.n == r.d <= 146 for r in places) and len(places) == -(-200_000 // 146)
+
+
+
 def _check_packing(rows, size):
     by_sequence = defaultdict(list)
     for r in rows:
