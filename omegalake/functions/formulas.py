@@ -32,13 +32,18 @@ METRICS = _fields(
 )
 
 
+#: Formulas nested deeper count as not parsed.
+DEEPEST = 150
+
+
 @lru_cache(maxsize=1 << 15)
 def _parsed(text: str | None, dialect: str = "strict"):
     if text is None or not text.strip():
         return None
     try:
-        return syntax.parse(text, {"strict": syntax.STRICT, "checker": syntax.CHECKER}[dialect])
-    except ValueError:
+        found = syntax.parse(text, {"strict": syntax.STRICT, "checker": syntax.CHECKER}[dialect])
+        return found if syntax.depth(found) <= DEEPEST else None
+    except (ValueError, RecursionError):
         return None
 
 

@@ -1,4 +1,4 @@
-"""Operators on keys and order: latest, best and first rows, ids, anti-append, unpivot, pairs, variants.
+"""Operators on keys and order: latest, best and first rows, ids, anti-append, unpivot, pairs.
 
 Nothing here relies on the order of rows; order comes in as a column (``pos``).
 """
@@ -95,25 +95,3 @@ def simplifiable_pairs(df: DataFrame) -> DataFrame:
         F.struct(F.concat(F.col("id").cast("string"), F.lit("_simplified")).alias("pair_id"), F.col("id").alias("original_record_id"), F.lit("simplified").alias("variant"), F.col("simplified_formula").alias("LTL"), F.col("LTL").alias("paired_formula")),
     )
     return df.where(tx.has_different_simplified(F.col("LTL"), F.col("simplified_formula"))).select(F.explode(pair).alias("p")).select("p.*")
-
-
-def grounded_variants(df: DataFrame, names: list[str], variants: int = 2, fields: tuple[str, ...] = ("LTL",), seed: int = 0) -> DataFrame:
-    """Variants of each template with its placeholders replaced by distinct names, drawn from the record's id.
-
-    Templates with as many placeholders as names, or more, have none; those without placeholders come
-    once, as they are. The k-th draw orders the names by a hash of (seed, id, k, name), so a repeated task
-    draws alike; equal draws are made once.
-    """
-    from ..functions import text as tx
-
-    own = tx.placeholders(*(F.col(f"`{f}`") for f in fields))
-    draws = F.transform(
-        F.sequence(F.lit(1), F.lit(variants)),
-        lambda k: F.transform(F.slice(F.array_sort(F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(F.xxhash64(F.lit(seed), F.col("id"), k, n).alias("h"), n.alias("n")))), 1, F.size("_props")), lambda s: s["n"]),
-    )
-    found = df.withColumn("_props", own).where(F.size("_props") < len(names))
-    drawn = found.withColumn("_draw", F.explode(F.when(F.size("_props") == 0, F.array(F.array().cast("array<string>"))).otherwise(F.array_distinct(draws))))
-    mapping = F.map_from_arrays("_props", "_draw")
-    replaced = {f: tx.replaced_names(F.col(f"`{f}`"), F.col("ap_mapping")) for f in fields}
-    named = drawn.withColumn("ap_mapping", mapping).withColumn("template_id", F.when(F.size("_props") > 0, F.col("id")))
-    return named.withColumns(replaced).drop("_props", "_draw")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as fm
 from ..functions import lex
 from ..functions import text as tx
-from ..operators import keyed
+from ..operators import keyed, variants
 from ..shared import fresh_path
 from ..sources import readers, translators, writers
 from . import corpora
@@ -122,11 +122,11 @@ def r_distinct_names(spark, d):
     return dataset(spark, d).select("id", F.array_join(names, ",").alias("names"), F.array_contains(names, F.col("b")).alias("has_second"))
 
 
-@query("SELECT DISTINCT id, LTL AS restored, CASE WHEN strpos(LTL, b) > 0 THEN 2 ELSE 1 END AS names FROM dataset")
+@query("SELECT id, LTL AS restored, CASE WHEN strpos(LTL, b) > 0 THEN 2 ELSE 1 END AS names FROM dataset, range(2)")
 def r_grounding_restored(spark, d):
-    grounded = keyed.grounded_variants(dataset(spark, d).select("id", "LTL"), ["red_room", "blue_room", "green_room", "yellow_room"], 2, ("LTL",))
+    grounded = variants.grounded_variants(dataset(spark, d).select("id", "LTL"), ["red_room", "blue_room", "green_room", "yellow_room"], 2, ("LTL",))
     back = F.map_from_entries(F.transform(F.map_entries("ap_mapping"), lambda e: F.struct(e["value"], e["key"])))
-    return grounded.select("id", tx.replaced_names(F.col("LTL"), back).alias("restored"), F.size("ap_mapping").alias("names")).distinct()
+    return grounded.select("id", tx.replaced_names(F.col("LTL"), back).alias("restored"), F.size("ap_mapping").alias("names"))
 
 
 #: Formulas over two propositions, whether they are well formed, whether in negation normal form, and their tokens but for parentheses.

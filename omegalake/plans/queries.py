@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import formulas as fm
 from ..functions import lex, providers
 from ..functions import text as tx
-from ..operators import edits, keyed, rates, semantic, stats
-from . import corpora, files  # noqa: F401  (files registers its own queries)
+from ..operators import edits, keyed, rates, semantic, stats, variants
+from . import corpora, events, files  # noqa: F401  (events and files register their own queries)
 from .benchmark import MODELS, case, dataset, results
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
@@ -65,21 +66,22 @@ def q05_success_by_depth(spark, d):
     return _rounded(rates.by_bucket(results(spark, d), _measured(dataset(spark, d)), F.col("m.temporal_depth"), "temporal_depth", ("model", "prompt_setting")), "success_rate")
 
 
-@query(_bucket_sql("automaton_size", "size", where="d.size <= 40"))
+@query(_bucket_sql("automaton_size", "size"))
 def q06_success_by_automaton(spark, d):
-    found = rates.by_bucket(results(spark, d), dataset(spark, d), F.col("automaton_size"), "size", ("model", "prompt_setting"))
-    return _rounded(found.where("size <= 40"), "success_rate")
+    return _rounded(rates.by_bucket(results(spark, d), dataset(spark, d), F.col("automaton_size"), "size", ("model", "prompt_setting")), "success_rate")
 
 
+#: Fixed value: longer descriptions are left out of success by length.
+MOST_WORDS = 75
 _WORDS = "len(regexp_extract_all({0}, '[^[:space:]]+'))"
 
 
 @query(f"""WITH texts AS (UNPIVOT (SELECT id, natural_paraphrase, paraphrase_gpt, paraphrase_gemini FROM dataset) ON natural_paraphrase, paraphrase_gpt, paraphrase_gemini INTO NAME input_field VALUE source_text)
 SELECT model, words, count(*) AS total, count(*) FILTER ({_OK}) AS success, round(count(*) FILTER ({_OK}) * 1.0 / count(*), 9) AS success_rate
-FROM results r JOIN (SELECT id, input_field, CAST({_WORDS.format("source_text")} AS INT) AS words FROM texts WHERE trim(source_text) <> '') t ON r.record_id = t.id AND r.input_field = t.input_field GROUP BY model, words""")
+FROM results r JOIN (SELECT id, input_field, CAST({_WORDS.format("source_text")} AS INT) AS words FROM texts WHERE trim(source_text) <> '') t ON t.words <= {MOST_WORDS} AND r.record_id = t.id AND r.input_field = t.input_field GROUP BY model, words""")
 def q07_success_by_nl_length(spark, d):
     texts = keyed.unpivoted(dataset(spark, d), ["id"], ["natural_paraphrase", "paraphrase_gpt", "paraphrase_gemini"])
-    lengths = texts.select(F.col("id").alias("record_id"), "input_field", tx.word_count(F.col("source_text")).alias("words")).where("words <= 75")
+    lengths = texts.select(F.col("id").alias("record_id"), "input_field", tx.word_count(F.col("source_text")).alias("words")).where(f"words <= {MOST_WORDS}")
     joined = results(spark, d).groupBy("record_id", "input_field", "model").agg(F.count("*").alias("n"), F.count_if(rates.success()).alias("s")).join(lengths, ["record_id", "input_field"])
     found = joined.groupBy("model", "words").agg(F.sum("n").alias("total"), F.sum("s").alias("success"))
     return found.withColumn("success_rate", F.round(F.col("success") / F.col("total"), 9))
@@ -433,9 +435,18 @@ def r_filter_formulas(spark, d):
     return semantic.filter_formulas(dataset(spark, d).select("pos", "LTL")).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query()
+_ROOMS = ["red_room", "blue_room", "green_room", "yellow_room"]
+
+
+# However they are drawn, a template has two different variants, each naming its propositions by different rooms.
+@query("SELECT id, id AS template_id, k AS variant, CASE WHEN strpos(LTL, b) > 0 THEN 2 ELSE 1 END AS names, LTL AS restored FROM dataset, (VALUES (1), (2)) AS v(k)")
 def r_grounded_variants(spark, d):
-    return keyed.grounded_variants(dataset(spark, d).select("id", "LTL", "natural_paraphrase"), ["red_room", "blue_room", "green_room", "yellow_room"], 2, ("LTL",)).select("id", "template_id", "LTL", "ap_mapping")
+    made = variants.grounded_variants(dataset(spark, d).select("id", "LTL"), _ROOMS, 2, ("LTL",))
+    # Equal variants would have one number.
+    number = F.dense_rank().over(Window.partitionBy("id").orderBy(F.to_json("ap_mapping")))
+    back = F.map_from_entries(F.transform(F.map_entries("ap_mapping"), lambda e: F.struct(e["value"], e["key"])))
+    shown = made.withColumn("variant", number).withColumn("known", F.size(F.array_intersect(F.map_values("ap_mapping"), F.array(*map(F.lit, _ROOMS)))))
+    return shown.select("id", "template_id", "variant", F.col("known").alias("names"), tx.replaced_names(F.col("LTL"), back).alias("restored"))
 
 
 # Formulas.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,31 @@ def write_arrays(df: DataFrame, path: str, pos: str = "pos", places: int = 10_00
 def append_log(df: DataFrame, path: str, by: tuple[str, ...] = ("translation_model",)) -> None:
     """Appends entries; a run that stops keeps what was written before, and ``keyed.not_done`` finds the rest."""
     df.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def write_batch(df: DataFrame, log: str, query: str, batch: int) -> None:
+    """A batch of a stream as a partition of the log that a replay overwrites, with the running totals up to it.
+
+    Entries need ``status`` and ``equivalent``. Totals are those of the batch before and this one's, in a file of the same
+    partition, so a replayed batch counts once, too.
+    """
+    spark = df.sparkSession
+    place = f"{log}/entries/query={query}/batch={batch}"
+    df.write.mode("overwrite").parquet(place)
+    own = spark.read.schema(df.schema).parquet(place).agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if((F.col("status") == "ok") & F.coalesce("equivalent", F.lit(False))).alias("success")
+    )
+    kind = "total long, ok long, success long"
+    if batch:
+        own = own.unionByName(spark.read.schema(kind).parquet(f"{log}/totals/query={query}/batch={batch - 1}"))
+    own.agg(*(F.sum(c).alias(c) for c in ("total", "ok", "success"))).coalesce(1).write.mode("overwrite").parquet(f"{log}/totals/query={query}/batch={batch}")
+
+
+def read_batches(spark: SparkSession, log: str) -> DataFrame:
+    """All entries of such a log, with ``query`` and ``batch``."""
+    return spark.read.parquet(f"{log}/entries")
+
+
+def running_totals(spark: SparkSession, log: str) -> DataFrame:
+    """(query, batch, total, ok, success, success_rate) up to and with each batch."""
+    return spark.read.parquet(f"{log}/totals").withColumn("success_rate", F.try_divide("success", "total"))

@@ -1,4 +1,4 @@
-"""Evaluation of translations as a stream: sentences come in, checked entries are appended in batches."""
+"""Evaluation of translations as a stream: sentences come in, checked entries are logged in batches, each once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.formulas import ltl_equivalent, ltl_is_valid
-from ..sources.writers import append_log
+from ..sources.writers import write_batch
 
 Translator = Callable[[Column], Column]
 
@@ -41,10 +41,15 @@ def entries(tasks: DataFrame, translate: Callable[[DataFrame], DataFrame], model
     )
 
 
-def evaluate_stream(tasks: DataFrame, translate: Callable[[DataFrame], DataFrame], log: str, checkpoint: str, **labels: str):
-    """Starts a query that appends the entries of each batch of a streaming frame of tasks to the log."""
+def evaluate_stream(tasks: DataFrame, translate: Callable[[DataFrame], DataFrame], log: str, checkpoint: str, query: str = "evaluation", **labels: str):
+    """Starts a query that writes the entries of each batch of a streaming frame of tasks to the log, each entry once.
 
-    def batch(df: DataFrame, _: int) -> None:
-        append_log(entries(df, translate, **labels), log)
+    A batch is a partition (query, batch number) of the log; one that is replayed after a crash overwrites what it
+    left. ``writers.read_batches`` reads the log and ``writers.running_totals`` the accuracy after each batch. One checkpoint
+    and one name go together: another query writes under another name.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        write_batch(entries(df, translate, **labels), log, query, number)
 
     return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

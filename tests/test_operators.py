@@ -86,7 +86,7 @@ def test_keyed_edges(spark):
 
 def test_variants_replace_whole_names(spark):
     df = spark.createDataFrame([(1, "(prop_1 U prop_10)"), (2, "true"), (3, "(prop_1 & (prop_2 & prop_3))")], "id long, LTL string")
-    got = keyed.grounded_variants(df, ["red", "blue", "green"], 2).collect()
+    got = variants.grounded_variants(df, ["red", "blue", "green"], 2).collect()
     one = [r for r in got if r.id == 1]
     assert one and all(r.LTL == f"({r.ap_mapping['prop_1']} U {r.ap_mapping['prop_10']})" for r in one)
     assert [r.template_id for r in got if r.id == 2] == [None]
