@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shared import staged
 from .keyed import running_total
@@ -19,22 +20,41 @@ def tied_ranks(df: DataFrame, value: str, name: str, weight: Column | None = Non
     return df.join(ranked.select("_v", (F.col("_upto") - (F.col("_times") - 1) / 2).alias(name)), F.col(value) == F.col("_v")).drop("_v")
 
 
-def spearman(df: DataFrame, measures: list[str], outcome: str) -> DataFrame:
+#: Cells up to which the values of a measure are ranked by one task; more go by ranges.
+RANKED_TOGETHER = 1_000_000
+
+
+def _ranks(cells: DataFrame, value: str, name: str, many: bool) -> DataFrame:
+    """(measure, value, average rank of its rows) of each distinct value of each measure."""
+    counts = cells.groupBy("measure", value).agg(F.sum("w").alias("times"))
+    if many:
+        # Sums over all measures in a row, less what lies before each.
+        totals = counts.groupBy("measure").agg(F.sum("times").alias("own"))
+        before = F.coalesce(F.sum("own").over(Window.orderBy("measure").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        upto = running_total(counts, ["measure", value], F.col("times"), "upto").join(F.broadcast(totals.select("measure", before.alias("before"))), "measure").withColumn("upto", F.col("upto") - F.col("before"))
+    else:
+        upto = counts.withColumn("upto", F.sum("times").over(Window.partitionBy("measure").orderBy(value)))
+    return upto.select("measure", value, (F.col("upto") - (F.col("times") - 1) / 2).alias(name))
+
+
+def spearman(df: DataFrame, measures: list[str], outcome: str, weight: str | None = None) -> DataFrame:
     """(measure, n, rho, z) of each measure against the outcome; rho null for fewer than two rows or no variance.
 
-    Rows are counted by measure and outcome, and only such cells are ranked and summed. Ranks are taken from their
-    mean, which is half of the number of rows and one, so that sums of any number of rows keep their digits.
+    Rows are read once: each gives a cell (measure, value, outcome) for every measure, cells are counted (a row counts ``weight``
+    times), and only they are ranked and summed, all measures together. Ranks are taken from their mean, which is half of the number of
+    rows and one, so that sums of any number of rows keep their digits.
     """
-    found = None
-    for measure in measures:
-        known = df.where(F.col(measure).isNotNull() & F.col(outcome).isNotNull())
-        cells = staged(known.groupBy(F.col(measure).alias("x"), F.col(outcome).alias("y")).agg(F.count("*").alias("w")), "cells")
-        middle = ((cells.agg(F.sum("w")).first()[0] or 0) + 1) / 2
-        ranked = tied_ranks(tied_ranks(cells, "x", "rx", F.col("w")), "y", "ry", F.col("w"))
-        x, y, w = F.col("rx") - middle, F.col("ry") - middle, F.col("w")
-        rho = F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
-        one = ranked.agg(F.lit(measure).alias("measure"), F.coalesce(F.sum("w"), F.lit(0)).alias("n"), rho.alias("rho"))
-        found = one if found is None else found.unionByName(one)
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures)))
+    rows = df.where(F.col(outcome).isNotNull()).select(F.col(outcome).cast("double").alias("y"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w"), pairs.alias("p"))
+    cells = staged(rows.select("p.*", "y", "w").where("x is not null").groupBy("measure", "x", "y").agg(F.sum("w").alias("w")), "cells")
+    many = cells.count() > RANKED_TOGETHER
+    ranked = cells.join(_ranks(cells, "x", "rx", many), ["measure", "x"]).join(_ranks(cells, "y", "ry", many), ["measure", "y"])
+    middle = cells.groupBy("measure").agg(((F.sum("w") + 1) / 2).alias("middle"))
+    x, y, w = F.col("rx") - F.col("middle"), F.col("ry") - F.col("middle"), F.col("w")
+    rho = F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
+    found = ranked.join(F.broadcast(middle), "measure").groupBy("measure").agg(F.sum("w").alias("n"), rho.alias("rho"))
+    asked = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, measures))).alias("measure"))
+    found = asked.join(F.broadcast(found), "measure", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return found.withColumn("z", F.when((F.col("n") >= 4) & (F.abs("rho") < 1), F.atanh("rho") * F.sqrt((F.col("n") - 3) / F.lit(1.06))))
 
 

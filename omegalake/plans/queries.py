@@ -130,9 +130,18 @@ def q11_error_bands(spark, d):
     return _rounded(rates.with_band(found), "success_rate", "standard_error", "low", "high")
 
 
+def _record_measures(spark, d):
+    return _measured(_least_sizes(spark, d)).select(F.col("id").alias("record_id"), "size", tx.word_count(F.col("natural_paraphrase")).alias("words"), "least_size", F.col("m.temporal_depth").alias("nesting"), "automaton_size")
+
+
 def _measures(spark, d):
-    own = _measured(_least_sizes(spark, d)).select(F.col("id").alias("record_id"), "size", tx.word_count(F.col("natural_paraphrase")).alias("words"), "least_size", F.col("m.temporal_depth").alias("nesting"), "automaton_size")
-    return results(spark, d).withColumn("outcome", rates.success().cast("int")).join(own, "record_id")
+    return results(spark, d).withColumn("outcome", rates.success().cast("int")).join(_record_measures(spark, d), "record_id")
+
+
+def _rank_correlation(spark, d):
+    """The log is counted by record and outcome before it meets the measures."""
+    counted = results(spark, d).groupBy("record_id", rates.success().cast("int").alias("outcome")).agg(F.count("*").alias("rows"))
+    return stats.spearman(counted.join(_record_measures(spark, d), "record_id"), _NAMES, "outcome", "rows")
 
 
 _NAMES = ["words", "size", "least_size", "nesting", "automaton_size"]
@@ -148,7 +157,7 @@ _MEASURES = f"""m AS (SELECT r.*, ({_OK})::INT AS outcome, size, words, least_si
 
 @query(f"SELECT * FROM (WITH {_MEASURES} {' UNION ALL '.join(_rho_sql(m) for m in _NAMES)})")
 def q12_spearman(spark, d):
-    found = stats.spearman(_measures(spark, d).select(*_NAMES, "outcome"), _NAMES, "outcome")
+    found = _rank_correlation(spark, d)
     return found.select("measure", "n", F.round("rho", 6).alias("rho"))
 
 
@@ -160,7 +169,7 @@ _ERF_SQL = "2 / sqrt(pi()) * x / 6000 * list_sum(list_transform(range(2001), lam
 SELECT *, abs(z) / sqrt(2) AS x FROM (SELECT *, CASE WHEN n >= 4 AND abs(rho) < 1 THEN ln((1 + rho) / (1 - rho)) / 2 * sqrt((n - 3) / 1.06) END AS z FROM (
 WITH {_MEASURES} {' UNION ALL '.join(_rho_sql(m, 15) for m in _NAMES)})))""")
 def q12_spearman_p_values(spark, d):
-    found = stats.p_values(stats.spearman(_measures(spark, d).select(*_NAMES, "outcome"), _NAMES, "outcome"))
+    found = stats.p_values(_rank_correlation(spark, d))
     return found.select("measure", "n", *(F.round(c, 6).alias(c) for c in ("rho", "z", "p_value")))
 
 
