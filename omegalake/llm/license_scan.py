@@ -22,27 +22,72 @@ BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all
 
 #: Label, mandatory key phrase and words of short licence notices, as their licensors word them.
 TEMPLATES = (
+    ("afl-3.0", "academic free license", "licensed under the academic free license version 3 0"),
+    ("agpl", "affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation"),
     ("apache-2.0", "apache license", "licensed under the apache license version 2 0"),
     ("apache-2.0", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apsl-2.0", "apple public source license", "subject to the apple public source license version 2 0"),
+    ("artistic-2.0", "artistic license", "this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"),
+    ("blueoak-1.0.0", "blue oak model license", "licensed under the blue oak model license 1 0 0"),
     ("bsd", "redistributions of source code", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice"),
+    ("bsd-3-clause", "endorse or promote products", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsl-1.0", "boost software license", "distributed under the boost software license version 1 0"),
+    ("bsl-1.0", "person or organization obtaining a copy", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("busl-1.1", "business source license", "use of this software is governed by the business source license"),
     ("cc-by", "cc by", "licensed under cc by 4 0"),
     ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "attribution noncommercial", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-nd", "cc by nc nd", "licensed under cc by nc nd 4 0"),
+    ("cc-by-nc-sa", "cc by nc sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nd", "cc by nd", "licensed under cc by nd 4 0"),
+    ("cc-by-nd", "attribution noderivatives", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "attribution sharealike", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "public domain", "this work has been dedicated to the public domain under the creative commons zero licence"),
+    ("cc0", "related or neighboring rights", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cddl-1.0", "common development and distribution license", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1.0", "common public license", "this program and the accompanying materials are made available under the terms of the common public license v1 0"),
+    ("ecl-2.0", "educational community license", "licensed under the educational community license version 2 0"),
+    ("elastic-2.0", "elastic license", "licensed under the elastic license 2 0"),
+    ("epl-2.0", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("eupl-1.2", "european union public licence", "licensed under the european union public licence"),
+    ("gfdl", "free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("gpl", "gnu general public license", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("isc", "with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lppl", "latex project public license", "this work may be distributed and or modified under the conditions of the latex project public license"),
     ("mit", "mit license", "released under the mit license"),
     ("mit", "free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mpl-1.1", "mozilla public license version 1 1", "the contents of this file are subject to the mozilla public license version 1 1"),
     ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("ms-pl", "microsoft public license", "licensed under the microsoft public license"),
+    ("mulanpsl-2.0", "mulan psl", "is licensed under mulan psl v2"),
+    ("ncsa", "ncsa open source license", "university of illinois ncsa open source license"),
+    ("odbl", "open database license", "this database is made available under the open database license"),
+    ("ofl-1.1", "open font license", "this font software is licensed under the sil open font license version 1 1"),
+    ("openssl", "openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("osl-3.0", "open software license", "licensed under the open software license version 3 0"),
+    ("php-3.01", "php license", "this source file is subject to version 3 01 of the php license"),
+    ("postgresql", "without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("psf-2.0", "python software foundation license", "licensed under the python software foundation license version 2"),
+    ("qpl-1.0", "q public license", "may be distributed under the terms of the q public license"),
     ("reserved", "all rights reserved", "all rights reserved"),
+    ("sspl-1.0", "server side public license", "under the terms of the server side public license version 1"),
+    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("upl-1.0", "universal permissive license", "licensed under the universal permissive license v 1 0"),
+    ("w3c", "w3c software", "distributed under the w3c software notice and license"),
+    ("wtfpl", "you want to public license", "do what the fuck you want to public license"),
+    ("x11", "x consortium", "the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("zlib", "held liable for any damages arising", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zpl-2.1", "zope public license", "this software is subject to the provisions of the zope public license version 2 1"),
 )
 
 #: What stands between words.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Template words that running text has too; they are never looked up.
-COMMON = ("0", "2", "3", "4", "a", "above", "all", "and", "any", "are", "as", "at", "be", "been", "by", "code", "copy", "files", "form", "forms", "has", "in", "is", "it", "may", "met", "must", "not", "of", "or", "person", "source", "that", "the", "this", "to", "use", "v", "with", "work", "you")
+COMMON = ("0", "1", "2", "3", "4", "a", "above", "all", "an", "and", "any", "are", "as", "at", "be", "been", "by", "code", "copy", "do", "files", "for", "form", "forms", "from", "has", "in", "is", "it", "its", "law", "made", "may", "met", "must", "name", "names", "no", "not", "of", "open", "or", "other", "person", "source", "that", "the", "this", "to", "use", "used", "v", "want", "what", "will", "with", "work", "you")
 #: The words of the templates that are looked up.
 VOCABULARY = sorted({w for _, _, words in TEMPLATES for w in words.split()} - set(COMMON))
 #: Share of a template's indexed words that must stand at one relative position.

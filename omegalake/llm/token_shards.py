@@ -96,8 +96,11 @@ class Block:
         if not len(self._marks):
             return np.full(len(keys), -1, np.int64)
         slot = self._hash(keys)
-        hit = (slot >= 0) & (self._marks[slot] == fingerprints(keys.astype(np.int64).view(np.uint64)))
-        return np.where(hit, self._rows[slot].astype(np.int64), -1)
+        keys = keys.astype(np.int64)
+        hit = (slot >= 0) & (self._marks[slot] == fingerprints(keys.view(np.uint64)))
+        rows = np.where(hit, self._rows[slot].astype(np.int64), -1)
+        # A fingerprint keeps most absent keys from the payload; the key itself decides.
+        return np.where(hit & (self.keys[rows] == keys), rows, -1)
 
     def looked_up(self) -> np.ndarray:
         """The row of every document: by the hash of its key, if it is the first with this key, else its own."""

@@ -409,6 +409,22 @@ def test_fingerprint_in_blocks(monkeypatch):
 # 5 and 6: licences and rules.
 
 
+def test_every_notice_is_found(spark):
+    """Each notice between other words, also with one of its words changed that is not in its key phrase; the key phrase alone is not enough."""
+    rows = []
+    for number, (_, phrase, words) in enumerate(license_scan.TEMPLATES):
+        own = [w for w in words.split() if w not in license_scan.COMMON]
+        inside = [w for w in own if w not in phrase.split()]
+        rows.append((2 * number, f"Some words, then: {words.upper()}! And more."))
+        rows.append((2 * number + 1, "x " * 9 + (words.replace(inside[0], "changed", 1) if len(own) > 4 and inside else words)))
+    rows.append((1000, "with or without fee. held liable for any damages arising"))
+    found = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({label for label, _, _ in license_scan.TEMPLATES}) >= 40
+    for number, (label, _, words) in enumerate(license_scan.TEMPLATES):
+        assert label in found[2 * number] and label in found[2 * number + 1], (label, words)
+    assert found[1000] == {""}
+
+
 @pytest.mark.parametrize("name", ["op5_license_scan", "op6_line_first_rules"])
 def test_native_against_sql(spark, sf_dir, name):
     compare(queries.QUERIES[name](spark, sf_dir), queries.ORACLE_SQL[name], sf_dir)
