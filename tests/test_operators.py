@@ -7,7 +7,7 @@ from omegalake.functions import formulas as fm
 from omegalake.functions import lex, names
 from omegalake.functions import text as tx
 from omegalake.logic import syntax
-from omegalake.operators import keyed, rates, semantic
+from omegalake.operators import keyed, rates, semantic, variants
 from omegalake.plans import corpora
 from omegalake.schema import CALIBRATION
 from omegalake.sources import readers, writers
