@@ -884,3 +884,45 @@ def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_pipeline_of_awkward_documents(spark, sf_dir, awkward):
+    """Null ids and texts, repeated rows and clashing names pass every stage; one of repeated good rows stays, with its columns."""
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id").limit(30)
+    extra = {c: F.lit("clash") for c in awkward.columns if c not in ("doc_id", "text")}
+    few = good.withColumn("doc_id", F.col("doc_id") + 10_000).withColumns(extra)
+    docs = common.staged(awkward.unionByName(few).unionByName(few).unionByName(few.withColumn("doc_id", F.lit(None).cast("long"))), "awkward-documents")
+    frame = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = frame.count()
+        frame = common.staged(stage(spark, frame, sf_dir), name)
+        assert frame.columns == docs.columns and 0 < frame.count() <= before, name
+    texts = [r.text for r in frame.select("text").collect()]
+    assert len(set(texts)) == len(texts) and set(texts) <= {r.text for r in docs.select("text").collect()}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir).collect()
+    assert len({(r.doc_id, r.piece, r.start, r.ids_crc32) for r in pieces}) == len(pieces) >= len(texts)
+
+
+@pytest.mark.parametrize("name", ["token_shards", "license_scan", "quality_rules", "packing"])
+def test_texts_of_many_megabytes(spark, name):
+    """A text far longer than a block, beside a short one, gives what its parts give together."""
+    line = "All rights reserved, says this line of words, under CC BY 4.0. "
+    times = 60_000
+    docs = spark.createDataFrame([(1, line * times), (2, line)], "doc_id long, text string")
+    if name == "license_scan":
+        got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+        assert got[1].n_words == times * got[2].n_words and got[1].n_base == times * got[2].n_base == 2 * times and got[1].labels == got[2].labels
+    elif name == "quality_rules":
+        got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
+        assert got[1].word_chars == times * got[2].word_chars and got[1].n_repeat_words == got[1].n_words and got[1].base_failed
+    elif name == "packing":
+        rows = packing.pack_documents(docs, BYTES).collect()
+        own = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece)
+        assert all(r.length == 1024 for r in own[1:]) and [r.start for r in own[1:]] == [own[0].length + 1024 * k for k in range(len(own) - 1)]
+    else:
+        path = common.fresh_path(spark, "long-shards")
+        token_shards.write_shards(docs, path, WORDS)
+        got = {r.key: r for r in token_shards.shard_rows(token_shards.read_shards(spark, path)).collect()}
+        assert got[2].start == got[1].n_tokens and got[1].n_tokens - 1 == times * (got[2].n_tokens - 1)
