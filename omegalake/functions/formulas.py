@@ -146,12 +146,15 @@ def _repaired(text: str) -> dict:
     if _parsed(text, "checker") is not None:
         return {"formula": text, "status": "already_valid"}
     try:
-        f, status = syntax.parse(text, syntax.LOOSE), "restructured_from_infix"
-    except ValueError:
-        f, status = syntax.best_letter_prefix(text), "restructured_from_prefix"
-    if f is None:
+        try:
+            f, status = syntax.parse(text, syntax.LOOSE), "restructured_from_infix"
+        except ValueError:
+            f, status = syntax.best_letter_prefix(text), "restructured_from_prefix"
+        shown = f if f is None else syntax.render_repaired(f)
+    except RecursionError:
+        shown = None
+    if shown is None:
         return {"status": "parse_failed"}
-    shown = syntax.render_repaired(f)
     return {"formula": shown, "status": status} if _parsed(shown, "checker") is not None else {"status": "normalized_but_invalid"}
 
 
@@ -170,7 +173,7 @@ def ltl_from_word_prefix(texts: pd.Series) -> pd.Series:
     def read(text):
         try:
             return syntax.word_prefix(text)
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, RecursionError):
             return None
 
     return pd.Series([read(t) for t in texts], dtype=object)

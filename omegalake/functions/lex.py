@@ -150,3 +150,94 @@ def is_trivial(found: Column) -> Column:
     own = core(found)
     one = (F.size(own) == 1) & F.exists(own, is_proposition)
     return one | ((F.size(own) == 2) & (F.get(own, F.lit(0)) == "!") & is_proposition(F.get(own, F.lit(1))))
+
+
+# Measures of well-formed formulas.
+
+#: Tokens of dataset formulas: operator letters are tokens wherever a word could begin; words have no leading underscore.
+STRICT = r"(?U)<->|->|[()!&|]|[UWRMXFG]|[^\W_]\w*"
+#: How tightly binary operators bind; those of RIGHT group to the right.
+LEVELS = {"<->": 0, "->": 1, "|": 2, "&": 3, "U": 4, "W": 4, "R": 4, "M": 4}
+RIGHT = (0, 1)
+#: Operators that the temporal depth counts.
+DEEPENING = ("X", "F", "G", "U", "R", "W")
+#: Formulas with more open parentheses at once have no measures.
+MOST_OPEN = 2_000
+
+_FRAME = "struct<floor:array<int>,rise:array<int>,tfloor:array<int>,trise:array<int>,ops:int,tops:int>"
+
+
+def _struct(**fields: Column) -> Column:
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
+def _fresh() -> Column:
+    """A parenthesis without pending operators."""
+    none, still = F.array_repeat(F.lit(-1), 5), F.array_repeat(F.lit(0), 5)
+    return _struct(floor=none, rise=still, tfloor=none, trise=still, ops=F.lit(0), tops=F.lit(0)).cast(_FRAME)
+
+
+def _lifted(value: Column, floor: Column, rise: Column, above: Column | int) -> Column:
+    """A depth under the pending operators that bind tighter than ``above``, the tightest first."""
+    return F.aggregate(F.sequence(F.lit(4), F.lit(0), F.lit(-1)), value, lambda x, k: F.when(k > above, F.greatest(F.get(floor, k), x + F.get(rise, k))).otherwise(x))
+
+
+def measures(text: Column) -> Column:
+    """(size, depth, temporal_depth) of a formula, null if it is not well formed; without a parser, in one pass over its tokens.
+
+    What is pending in a parenthesis (left operands and operators, at most one set of them for each binding strength, and
+    prefix operators) turns the depth x of the operand to come into max(floor, x + rise). Such functions compose to one of
+    their kind, so a parenthesis is a few numbers, and a formula a stack of them.
+    """
+    found = F.regexp_extract_all(text, F.lit(STRICT), F.lit(0))
+    clean = F.regexp_replace(text, F.lit(STRICT + r"|\s"), F.lit("")) == ""
+    stack = F.array().cast(f"array<{_FRAME}>")
+    level_of = F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))
+    start = _struct(stack=stack, frame=_fresh(), depth=F.lit(0), tdepth=F.lit(0), due=F.lit(True), good=F.lit(True))
+
+    def step(s: Column, t: Column) -> Column:
+        frame, stack, due = s["frame"], s["stack"], s["due"]
+        deepens = t.isin(*DEEPENING).cast("int")
+        level = F.coalesce(F.try_element_at(level_of, t), F.lit(-1))
+
+        def state(**changed: Column) -> Column:
+            return _struct(**{n: changed.get(n, s[n]) for n in ("stack", "frame", "depth", "tdepth", "due", "good")})
+
+        prefix = state(frame=frame.withField("ops", frame["ops"] + 1).withField("tops", frame["tops"] + deepens), good=s["good"] & due)
+        opened = state(stack=F.array_append(stack, frame), frame=_fresh(), good=s["good"] & due)
+        # The operand is whole: its prefix operators are spent.
+        spent = frame.withField("ops", F.lit(0)).withField("tops", F.lit(0))
+        atom = state(frame=spent, depth=frame["ops"], tdepth=frame["tops"], due=F.lit(False), good=s["good"] & due)
+        # A binary operator: all that binds tighter, or as tight and groups to the left, has its right operand.
+        above = F.when(level.isin(*RIGHT), level).otherwise(level - 1)
+        left, tleft = _lifted(s["depth"], frame["floor"], frame["rise"], above), _lifted(s["tdepth"], frame["tfloor"], frame["trise"], above)
+
+        def pending(floor: Column, rise: Column, value: Column, add: Column) -> tuple[Column, Column]:
+            # max(floor, max(value + add, x + add) + rise)
+            own = F.greatest(F.get(floor, level), value + add + F.get(rise, level))
+            first = value + add
+            held = level.isin(*RIGHT)
+            return (
+                F.transform(floor, lambda v, k: F.when(k > level, -1).when(k == level, F.when(held, own).otherwise(first)).otherwise(v)),
+                F.transform(rise, lambda v, k: F.when(k > level, 0).when(k == level, F.when(held, v + add).otherwise(add)).otherwise(v)),
+            )
+
+        floor, rise = pending(frame["floor"], frame["rise"], left, F.lit(1))
+        tfloor, trise = pending(frame["tfloor"], frame["trise"], tleft, deepens)
+        binary = state(frame=_struct(floor=floor, rise=rise, tfloor=tfloor, trise=trise, ops=F.lit(0), tops=F.lit(0)).cast(_FRAME), due=F.lit(True), good=s["good"] & ~due)
+        outer = F.get(stack, F.size(stack) - 1)
+        closed = state(
+            stack=F.slice(stack, F.lit(1), F.greatest(F.lit(0), F.size(stack) - 1)), frame=F.coalesce(outer, _fresh()).withField("ops", F.lit(0)).withField("tops", F.lit(0)),
+            depth=_lifted(s["depth"], frame["floor"], frame["rise"], -1) + F.coalesce(outer["ops"], F.lit(0)), tdepth=_lifted(s["tdepth"], frame["tfloor"], frame["trise"], -1) + F.coalesce(outer["tops"], F.lit(0)),
+            due=F.lit(False), good=s["good"] & ~due & outer.isNotNull(),
+        )
+        read = F.when(t.isin("!", "X", "F", "G"), prefix).when(t == "(", opened).when(t == ")", closed).when(level >= 0, binary).otherwise(atom)
+        return F.when(s["good"], read).otherwise(s)
+
+    def end(s: Column) -> Column:
+        whole = s["good"] & ~s["due"] & (F.size(s["stack"]) == 0)
+        depth = _lifted(s["depth"], s["frame"]["floor"], s["frame"]["rise"], -1)
+        return F.when(whole, _struct(size=F.lit(0), depth=depth, temporal_depth=_lifted(s["tdepth"], s["frame"]["tfloor"], s["frame"]["trise"], -1)))
+
+    read = F.aggregate(found, start, step, end)
+    return F.when(clean & (paren_depth(found) <= MOST_OPEN), read.withField("size", size(found)))

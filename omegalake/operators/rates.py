@@ -44,15 +44,23 @@ def by_field(entries: DataFrame, ignore_errors: Column | None = None) -> DataFra
     return overall(named, ["input_field"], ignore_errors)
 
 
-def by_bucket(entries: DataFrame, dataset: DataFrame, bucket: Column, name: str, by: tuple[str, ...] = (), ignore_errors: Column | None = None) -> DataFrame:
+#: Ranges that published panels show, of formula sizes and of automaton sizes.
+SIZES, AUTOMATON_SIZES = (1, 34), (None, 50)
+
+
+def by_bucket(entries: DataFrame, dataset: DataFrame, bucket: Column, name: str, by: tuple[str, ...] = (), ignore_errors: Column | None = None, between: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """Success by a measure of the record that each entry is about; entries without record or measure left out.
 
-    Entries are counted by record before the join, so that it carries one row for each record and group.
+    between: the least and the greatest measure that is wanted (SIZES, AUTOMATON_SIZES), None for no bound; records beyond are left out before the
+    join. Entries are counted by record before the join, so that it carries one row for each record and group.
     """
     error = F.coalesce(F.col("status") == "error", F.lit(False))
     kept = entries if ignore_errors is None else entries.where(~(ignore_errors & error))
     per_record = kept.groupBy("record_id", *by).agg(F.count("*").alias("_n"), F.count_if(success()).alias("_s"))
     measured = dataset.select(F.col("id").alias("record_id"), bucket.alias(name)).where(F.col(name).isNotNull())
+    low, high = between
+    measured = measured if low is None else measured.where(F.col(name) >= low)
+    measured = measured if high is None else measured.where(F.col(name) <= high)
     found = per_record.join(measured, "record_id").groupBy(*by, name).agg(F.sum("_n").alias("total"), F.sum("_s").alias("success"))
     return found.withColumn("success_rate", _rate("total"))
 

@@ -55,7 +55,9 @@ def upsert(existing: DataFrame, new: DataFrame, text: str = "LTL", pos: str = "p
     earlier record stays. Records are to be renumbered by ``pos`` afterwards.
     """
     both, _ = _merged(existing, new, text, pos)
-    grouped = both.join(classes(both, text, pos), F.col(text) == F.col("formula")).withColumn("_m", ltl_metrics(text)["preference"])
+    known = classes(both, text, pos)
+    known = known.withColumn("_m", ltl_metrics("formula")["preference"])
+    grouped = both.join(known, F.col(text) == F.col("formula"))
     row = F.struct(*(F.col(f"`{c}`") for c in both.columns))
     best = grouped.groupBy("class_leader").agg(F.min_by(row, F.struct("_m", pos)).alias("_row"), F.min(pos).alias("_pos"))
     return best.select(*(F.col("_pos").alias(c) if c == pos else F.col(f"_row.`{c}`").alias(c) for c in both.columns))

@@ -138,11 +138,15 @@ def logistic_fit(df: DataFrame, terms: list[str], outcome: str, by: str | None =
     ]
 
 
-def scaling_law(df: DataFrame, model: str = "model", size: str = "ast_size", success: str = "success") -> DataFrame:
-    """(model, beta0, beta1, n, size50): success as a logistic function of size, and the size of even odds."""
-    missing = {model, size, success} - set(df.columns)
+def scaling_law(df: DataFrame, model: str = "model", size: str = "ast_size", success: str = "success", setting: tuple[str, str] | None = None) -> DataFrame:
+    """(model, beta0, beta1, n, size50): success as a logistic function of size, and the size of even odds.
+
+    setting: a column and the value that rows must have in it.
+    """
+    missing = {model, size, success, *(setting[:1] if setting else ())} - set(df.columns)
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
+    df = df.where(F.col(setting[0]) == setting[1]) if setting else df
     fitted = logistic_fit(df.select(model, size, F.col(success).cast("int").alias(success)), [size], success, model)
     rows = {}
     for r in fitted:

@@ -19,9 +19,9 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _measured(formulas: DataFrame) -> DataFrame:
-    """Adds the metrics struct ``m``, computed once for each distinct formula."""
-    metrics = formulas.select(F.col("LTL").alias("_f")).distinct().withColumn("m", fm.ltl_metrics("_f"))
-    return formulas.join(metrics, formulas["LTL"] == metrics["_f"]).drop("_f")
+    """Adds ``m``, size, depth and temporal depth, taken once from each distinct formula."""
+    measures = formulas.select(F.col("LTL").alias("_f")).distinct().withColumn("m", lex.measures(F.col("_f")))
+    return formulas.join(measures, formulas["LTL"] == measures["_f"]).drop("_f")
 
 
 _OK = "coalesce(status = 'ok', false) AND coalesce(equivalent, false)"
@@ -71,6 +71,12 @@ def q06_success_by_automaton(spark, d):
     return _rounded(rates.by_bucket(results(spark, d), dataset(spark, d), F.col("automaton_size"), "size", ("model", "prompt_setting")), "success_rate")
 
 
+@query(_bucket_sql("automaton_size", "size", where="d.size <= 50"))
+def q06_automaton_panel(spark, d):
+    """The panel's range, as published."""
+    return _rounded(rates.by_bucket(results(spark, d), dataset(spark, d), F.col("automaton_size"), "size", ("model", "prompt_setting"), between=rates.AUTOMATON_SIZES), "success_rate")
+
+
 #: Fixed value: longer descriptions are left out of success by length.
 MOST_WORDS = 75
 _WORDS = "len(regexp_extract_all({0}, '[^[:space:]]+'))"
@@ -183,21 +189,34 @@ def q13_logistic_regression(spark, d):
 _LAW_SIZES = (5, 20, 40)
 
 
-# Thirty of Newton's steps from zero, on counts of each size and outcome.
-@query(f"""SELECT model, round(b0, 6) AS beta0, round(b1, 6) AS beta1, CAST(total AS BIGINT) AS n, round(-b0 / b1, 3) AS size50, {", ".join(f"round(1 / (1 + exp(-b0 - b1 * {s})), 6) AS p_size_{s}" for s in _LAW_SIZES)} FROM (
-WITH RECURSIVE cells AS (SELECT model, automaton_size AS x, ({_OK})::INT AS y, count(*) AS n FROM results JOIN dataset ON record_id = id GROUP BY 1, 2, 3),
+def _law_sql(where: str) -> str:
+    """Thirty of Newton's steps from zero, on counts of each size and outcome."""
+    return f"""SELECT model, round(b0, 6) AS beta0, round(b1, 6) AS beta1, CAST(total AS BIGINT) AS n, round(-b0 / b1, 3) AS size50, {", ".join(f"round(1 / (1 + exp(-b0 - b1 * {s})), 6) AS p_size_{s}" for s in _LAW_SIZES)} FROM (
+WITH RECURSIVE cells AS (SELECT model, automaton_size AS x, ({_OK})::INT AS y, count(*) AS n FROM results JOIN dataset ON record_id = id WHERE {where} GROUP BY 1, 2, 3),
 fit(model, k, b0, b1, total) AS (
   SELECT model, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), sum(n) FROM cells GROUP BY model UNION ALL
   SELECT model, k + 1, b0 + (h11 * s0 - h01 * s1) / (h00 * h11 - h01 * h01), b1 + (h00 * s1 - h01 * s0) / (h00 * h11 - h01 * h01), total FROM (
     SELECT model, k, b0, b1, total, sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) AS h11, sum(n * (y - p)) AS s0, sum(n * (y - p) * x) AS s1
     FROM (SELECT f.*, x, y, n, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM fit f JOIN cells c ON f.model = c.model WHERE k < 30) GROUP BY model, k, b0, b1, total))
-SELECT * FROM fit WHERE k = 30)""")
-def q14_scaling_law(spark, d):
-    measured = _measures(spark, d).select("model", F.col("automaton_size").alias("ast_size"), F.col("outcome").alias("success"))
-    found = stats.predicted_success(stats.scaling_law(measured), list(_LAW_SIZES))
+SELECT * FROM fit WHERE k = 30)"""
+
+
+def _laws(spark, d, setting=None):
+    measured = _measures(spark, d).select("model", "prompt_setting", F.col("automaton_size").alias("ast_size"), F.col("outcome").alias("success"))
+    found = stats.predicted_success(stats.scaling_law(measured, setting=setting), list(_LAW_SIZES))
     return found.select("model", "n", F.round("size50", 3).alias("size50"), *(F.round(c, 6).alias(c) for c in found.columns if c not in ("model", "n", "size50")))
 
 
+@query(_law_sql("true"))
+def q14_scaling_law(spark, d):
+    return _laws(spark, d)
+
+
+@query(_law_sql("prompt_setting = 'fewshot'"))
+def q14_scaling_law_fewshot(spark, d):
+    return _laws(spark, d, ("prompt_setting", "fewshot"))
+
+
 @query(f"SELECT model, automaton_size AS ast_size, count(*) AS n, round(avg(({_OK})::INT), 9) AS mean_success FROM results JOIN dataset ON record_id = id GROUP BY 1, 2")
 def q14_mean_success_by_size(spark, d):
     return _measures(spark, d).groupBy("model", F.col("automaton_size").alias("ast_size")).agg(F.count("*").alias("n"), F.round(F.avg("outcome"), 9).alias("mean_success"))
@@ -213,7 +232,20 @@ def q15_operator_totals(spark, d):
 max({case("depth", quoted=False)}) AS max_depth, max({case("temporal_depth", quoted=False)}) AS max_temporal_depth FROM dataset""")
 def q15_field_statistics(spark, d):
     m = _measured(dataset(spark, d)).withColumn("n_props", F.size(F.filter(lex.tokens(F.col("LTL")), lambda t: t.startswith("prop"))).cast("long"))
-    return m.agg(F.count("*").alias("records"), F.count_if("m.parse_error").cast("int").alias("parse_failures"), F.sum("n_props").alias("propositions"), F.min("m.ast_size").alias("min_size"), F.max("m.ast_size").alias("max_size"), F.max("m.ast_depth").alias("max_depth"), F.max("m.temporal_depth").alias("max_temporal_depth"))
+    return m.agg(F.count("*").alias("records"), F.count_if(F.col("m").isNull()).cast("int").alias("parse_failures"), F.sum("n_props").alias("propositions"), F.min("m.size").alias("min_size"), F.max("m.size").alias("max_size"), F.max("m.depth").alias("max_depth"), F.max("m.temporal_depth").alias("max_temporal_depth"))
+
+
+_SHAPES = " UNION ALL ".join(f"SELECT '{f}' AS field, '{m}' AS measure, {case(m, quoted=False)} + {more} AS value FROM dataset" for f, extra in (("LTL", 0), ("negated", 1)) for m, more in (("size", extra), ("depth", extra), ("temporal_depth", 0)))
+
+
+@query(f"SELECT field, measure, CAST(value AS INT) AS value, count(*) AS n FROM ({_SHAPES}) GROUP BY ALL")
+def q15_field_histograms(spark, d):
+    """Of each formula field how many records have each size, depth and temporal depth; formulas are measured once."""
+    fields = dataset(spark, d).select("id", "LTL", F.concat(F.lit("!("), "LTL", F.lit(")")).alias("negated"))
+    counted = keyed.unpivoted(fields, ["id"], ["LTL", "negated"]).groupBy(F.col("input_field").alias("field"), F.col("source_text").alias("formula")).agg(F.count("*").alias("n"))
+    measured = counted.withColumn("m", lex.measures(F.col("formula"))).where("m is not null")
+    each = F.explode(F.create_map(*(x for c in ("size", "depth", "temporal_depth") for x in (F.lit(c), F.col(f"m.{c}")))))
+    return measured.select("field", "n", each.alias("measure", "value")).groupBy("field", "measure", "value").agg(F.sum("n").alias("n"))
 
 
 @query(f"SELECT size, count(*) AS n FROM (SELECT DISTINCT coalesce(source_record_id, id) AS k, min(least_size) OVER (PARTITION BY coalesce(source_record_id, id)) AS size FROM ({_MIN_SIZE})) GROUP BY size")
@@ -416,7 +448,8 @@ def r_equivalence_classes(spark, d):
 @query("SELECT id, true AS plain, false AS broken FROM dataset")
 def r_validity(spark, d):
     own = dataset(spark, d)
-    return own.select("id", fm.ltl_is_valid("LTL").alias("plain"), F.coalesce(fm.ltl_is_valid(F.concat("LTL", F.lit(" U"))), F.lit(False)).alias("broken"))
+    judged = own.select("LTL").distinct().select("LTL", *(lex.measures(f).isNotNull().alias(n) for n, f in (("plain", F.col("LTL")), ("broken", F.concat("LTL", F.lit(" U"))))))
+    return own.join(judged, "LTL").select("id", "plain", "broken")
 
 
 @query()
@@ -486,7 +519,8 @@ def r_behaviour(spark, d):
 
 @query(f"SELECT id, {case('size', quoted=False)} AS ast_size, {case('depth', quoted=False)} AS ast_depth, {case('temporal_depth', quoted=False)} AS temporal_depth, LTL AS rendered, false AS is_trivial FROM dataset")
 def r_formula_metrics(spark, d):
-    return _measured(dataset(spark, d)).select("id", "m.ast_size", "m.ast_depth", "m.temporal_depth", "m.rendered", "m.is_trivial")
+    shown = dataset(spark, d).select("LTL").distinct().withColumn("x", fm.ltl_metrics("LTL"))
+    return _measured(dataset(spark, d)).join(shown, "LTL").select("id", F.col("m.size").alias("ast_size"), F.col("m.depth").alias("ast_depth"), "m.temporal_depth", "x.rendered", "x.is_trivial")
 
 
 @query(f"SELECT id, {case('english')} AS back_translation FROM dataset")
@@ -520,14 +554,18 @@ def r_simplify(spark, d):
 
 @query("SELECT id, 'already_valid' AS plain, 'restructured_from_prefix' AS prefix, concat('(', a, ' -> F (', b, '))') AS formula, 'empty_output' AS nothing FROM dataset")
 def r_repair(spark, d):
-    own = dataset(spark, d)
-    read = own.withColumn("x", fm.ltl_repair(tx.raw_output(F.concat(F.lit("LTL: "), "LTL")))).withColumn("y", fm.ltl_repair(F.concat(F.lit("i "), "a", F.lit(" F "), "b"))).withColumn("z", fm.ltl_repair(F.lit("")))
+    own = dataset(spark, d).select("id", tx.raw_output(F.concat(F.lit("LTL: "), "LTL")).alias("p"), F.concat(F.lit("i "), "a", F.lit(" F "), "b").alias("q"))
+    outputs = own.select(F.explode(F.array("p", "q", F.lit(""))).alias("output")).distinct().withColumn("r", fm.ltl_repair("output"))
+    read = own
+    for name, output in (("x", F.col("p")), ("y", F.col("q")), ("z", F.lit(""))):
+        read = read.withColumn("_o", output).join(outputs.select(F.col("output").alias("_o"), F.col("r").alias(name)), "_o").drop("_o")
     return read.select("id", F.col("x.status").alias("plain"), F.col("y.status").alias("prefix"), F.col("y.formula").alias("formula"), F.col("z.status").alias("nothing"))
 
 
 @query("SELECT id, concat('(G(', a, ') -> F(!(', b, ')))') AS infix FROM dataset")
 def r_word_prefix(spark, d):
-    return dataset(spark, d).select("id", fm.ltl_from_word_prefix(F.concat(F.lit("LTL: -> G "), "a", F.lit(" F ! "), "b")).alias("infix"))
+    own = dataset(spark, d).select("id", F.concat(F.lit("LTL: -> G "), "a", F.lit(" F ! "), "b").alias("f"))
+    return own.join(own.select("f").distinct().withColumn("infix", fm.ltl_from_word_prefix("f")), "f").select("id", "infix")
 
 
 @query(f"SELECT id, CASE WHEN t IN (9, 10) THEN 0 ELSE {case('temporal_depth', quoted=False)} END AS until_only, {case('temporal_depth', quoted=False)} AS all_binary FROM dataset")

@@ -48,7 +48,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back.
 
     This cuts the lineage, keeps a Python stage from running twice and survives the loss of
-    any executor. The files are removed when the driver process ends.
+    any executor. The files are removed by ``release``, or when the driver process ends.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
@@ -56,8 +56,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 @atexit.register
-def _remove_staged() -> None:
-    for spark, path in _staged:
+def release() -> None:
+    """Removes what was kept in the shared folder so far; frames made from it can't be read any more.
+
+    For long sessions, between one job and the next; at the driver's end it is done anyway.
+    """
+    while _staged:
+        spark, path = _staged.pop()
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -56,22 +56,22 @@ def write_batch(df: DataFrame, log: str, query: str, batch: int) -> None:
     partition, so a replayed batch counts once, too.
     """
     spark = df.sparkSession
-    place = f"{log}/entries/query={query}/batch={batch}"
+    place = f"{log}/query={query}/batch={batch}"
     df.write.mode("overwrite").parquet(place)
     own = spark.read.schema(df.schema).parquet(place).agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if((F.col("status") == "ok") & F.coalesce("equivalent", F.lit(False))).alias("success")
     )
     kind = "total long, ok long, success long"
     if batch:
-        own = own.unionByName(spark.read.schema(kind).parquet(f"{log}/totals/query={query}/batch={batch - 1}"))
-    own.agg(*(F.sum(c).alias(c) for c in ("total", "ok", "success"))).coalesce(1).write.mode("overwrite").parquet(f"{log}/totals/query={query}/batch={batch}")
+        own = own.unionByName(spark.read.schema(kind).parquet(f"{log}/_totals/query={query}/batch={batch - 1}"))
+    own.agg(*(F.sum(c).alias(c) for c in ("total", "ok", "success"))).coalesce(1).write.mode("overwrite").parquet(f"{log}/_totals/query={query}/batch={batch}")
 
 
 def read_batches(spark: SparkSession, log: str) -> DataFrame:
     """All entries of such a log, with ``query`` and ``batch``."""
-    return spark.read.parquet(f"{log}/entries")
+    return spark.read.parquet(log)
 
 
 def running_totals(spark: SparkSession, log: str) -> DataFrame:
     """(query, batch, total, ok, success, success_rate) up to and with each batch."""
-    return spark.read.parquet(f"{log}/totals").withColumn("success_rate", F.try_divide("success", "total"))
+    return spark.read.parquet(f"{log}/_totals").withColumn("success_rate", F.try_divide("success", "total"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.formulas import ltl_equivalent, ltl_is_valid
+from ..shared import staged
 from ..sources.writers import write_batch
 
 Translator = Callable[[Column], Column]
@@ -27,11 +28,14 @@ def replayed(answers: DataFrame, text: str = "source_text", answer: str = "raw_m
 def entries(tasks: DataFrame, translate: Callable[[DataFrame], DataFrame], model: str = "replay", provider: str = "offline", setting: str = "zeroshot") -> DataFrame:
     """Result entries of (record_id, input_field, source_text, original_ltl): translated, cleaned and checked.
 
-    An answer that is missing, doesn't parse or can't be decided makes an entry with status error.
+    An answer that is missing, doesn't parse or can't be decided makes an entry with status error. Each distinct pair of
+    answer and formula is checked once.
     """
-    said = translate(tasks).withColumn("predicted_ltl", tx.wrapped_operands(tx.spelled_out(F.col("raw_model_output"))))
-    valid = F.coalesce(ltl_is_valid("predicted_ltl"), F.lit(False))
-    judged = said.withColumn("_valid", valid).withColumn("equivalent", ltl_equivalent("predicted_ltl", "original_ltl"))
+    # Kept, so that no answer is asked for twice.
+    said = staged(translate(tasks).withColumn("predicted_ltl", tx.wrapped_operands(tx.spelled_out(F.col("raw_model_output")))), "answers")
+    pairs = said.select(F.col("predicted_ltl").alias("_p"), F.col("original_ltl").alias("_o")).distinct()
+    checked = pairs.withColumn("_valid", F.coalesce(ltl_is_valid("_p"), F.lit(False))).withColumn("equivalent", ltl_equivalent("_p", "_o"))
+    judged = said.join(checked, F.col("predicted_ltl").eqNullSafe(F.col("_p")) & F.col("original_ltl").eqNullSafe(F.col("_o")))
     good = F.col("_valid") & F.col("equivalent").isNotNull()
     error = F.when(F.col("raw_model_output").isNull(), "no answer").when(~F.col("_valid"), "not a formula").otherwise("undecided")
     return judged.select(

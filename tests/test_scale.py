@@ -10,7 +10,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from omegalake import shared
 from omegalake.functions import formulas as fm
+from omegalake.functions import lex
+from omegalake.logic import syntax
 from omegalake.operators import frames, sketches, temporal, variants
 from omegalake.sources import readers, stored, translators, writers
 from omegalake.sources.json_ranges import JsonFiles
@@ -205,7 +208,16 @@ def test_batches_merge_as_one(spark, tmp_path, monkeypatch):
         parts._commit(after)
 
 
-# Logs and services.
+# The shared folder, logs and services.
+
+
+def test_kept_frames_are_released(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_staged", [])
+    one = shared.staged(spark.range(5), "one")
+    place = shared._staged[0][1].removeprefix("file://")
+    assert one.count() == 5 and os.path.exists(place)
+    shared.release()
+    assert not os.path.exists(place) and not shared._staged
 
 
 def test_a_replayed_batch_counts_once(spark, tmp_path):
@@ -269,6 +281,35 @@ def test_a_service_says_how_long_to_wait(spark):
 # Formulas of any depth.
 
 
+def _formula(r, d):
+    k = r.random()
+    if d == 0 or k < 0.25:
+        return r.choice(["prop_1", "prop_2", "true"])
+    if k < 0.5:
+        return r.choice("!XFG") + " " + _formula(r, d - 1)
+    if k < 0.65:
+        return "(" + _formula(r, d - 1) + ")"
+    return _formula(r, d - 1) + " " + r.choice(["U", "W", "R", "M", "&", "|", "->", "<->"]) + " " + _formula(r, d - 1)
+
+
+def test_native_measures_equal_the_parser(spark):
+    r = random.Random(1)
+    tokens = ["(", ")", "!", "X", "F", "G", "U", "W", "R", "M", "&", "|", "->", "<->", "prop_1", "a", " ", "true", "Foo", "_", "é"]
+    texts = [_formula(r, 5) for _ in range(700)] + [r.choice(["", " "]).join(r.choice(tokens) for _ in range(r.randint(0, 8))) for _ in range(900)]
+    got = {x.t: x.m and tuple(x.m) for x in spark.createDataFrame([(t,) for t in texts], "t string").select("t", lex.measures(F.col("t")).alias("m")).collect()}
+    for t in texts:
+        try:
+            f = syntax.parse(t)
+            assert got[t] == (syntax.size(f), syntax.depth(f), syntax.temporal_depth(f)), t
+        except ValueError:
+            assert got[t] is None, t
+
+
+def test_native_measures_of_deep_formulas(spark):
+    rows = [("F(" * n + "prop_1" + ")" * n,) for n in (1000, 100_000)] + [(None,), ("",)]
+    assert [x.m and tuple(x.m) for x in spark.createDataFrame(rows, "t string").select(lex.measures(F.col("t")).alias("m")).collect()] == [(1001, 1000, 1000), None, None, None]
+
+
 @pytest.mark.parametrize("levels", [1000, 100_000])
 def test_deep_formulas_do_not_stop_a_job(spark, levels):
     df = spark.createDataFrame([("F(" * levels + "prop_1" + ")" * levels,), ("G(prop_1)",)], "LTL string")
