@@ -91,23 +91,25 @@ class Block:
     def ids(self, row: int) -> np.ndarray:
         return self._ids[self.offsets[row] : self.offsets[row + 1]]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key (the first, if the key is repeated), or -1."""
+    def _by_fingerprint(self, keys: np.ndarray) -> np.ndarray:
+        """The row that the hash gives each key, or -1 where the fingerprint differs."""
         if not len(self._marks):
             return np.full(len(keys), -1, np.int64)
         slot = self._hash(keys)
-        keys = keys.astype(np.int64)
-        hit = (slot >= 0) & (self._marks[slot] == fingerprints(keys.view(np.uint64)))
-        rows = np.where(hit, self._rows[slot].astype(np.int64), -1)
-        # A fingerprint keeps most absent keys from the payload; the key itself decides.
-        return np.where(hit & (self.keys[rows] == keys), rows, -1)
+        hit = (slot >= 0) & (self._marks[slot] == fingerprints(keys.astype(np.int64).view(np.uint64)))
+        return np.where(hit, self._rows[slot].astype(np.int64), -1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key (the first, if the key is repeated), or -1: the fingerprint keeps most absent keys out, the key itself decides."""
+        rows = self._by_fingerprint(keys)
+        return np.where((rows >= 0) & (self.keys[rows] == keys), rows, -1) if len(self.keys) else rows
 
     def looked_up(self) -> np.ndarray:
         """The row of every document: by the hash of its key, if it is the first with this key, else its own."""
         at = np.arange(len(self))
         own = self.keys[self.without :]
         first = self.without + np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
-        at[first] = self.find(self.keys[first])
+        at[first] = self._by_fingerprint(self.keys[first])
         if (at < 0).any():
             raise ValueError("the index misses a key of its block")
         return at
