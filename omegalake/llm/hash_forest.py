@@ -9,7 +9,8 @@ A query descends in each tree to the longest prefix that it shares with other ro
 trees, from level to level of shorter prefixes, until the rows that share its prefix, counted over all trees, are
 enough. Where that leads up to the digits, it does not ascend further, to prefixes 2 x size times as frequent, but goes
 sideways: to the prefixes that it would have had with the next largest coordinates, the likeliest first (multi-probe).
-All rows under its prefixes are met, in every tree, and scored by their exact cosine.
+All rows under its prefixes are met, in every tree, and scored by their exact cosine. A query that has not found as many as
+asked for so ascends further, to the root at last, where all rows are met. No table is too small for the trees.
 
 Trees are sorted and cut into ranges of (tree, string, id), so neither a tree nor a frequent string has
 to fit a task. Prefixes that cross a range's border are counted over all ranges, and a query visits each range
@@ -19,6 +20,7 @@ that its prefixes lie in. Equal vectors enter the trees once.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,10 +34,10 @@ from .common import staged
 
 #: Trees, bits of a hash string.
 TREES, BITS = 48, 62
-#: Rows that a query is to meet, counted over all trees: SHARE * rows ** POWER, and all in a table of at most LEAST, where that is most of them.
-LEAST, SHARE, POWER = 5_000, 9.64, 0.55
-#: Prefixes that a query looks under in each tree; coordinates of a digit that count as near.
-PROBES, NEAR = 96, 16
+#: Rows that a query is to meet, counted over all trees: SHARE * rows ** POWER.
+SHARE, POWER = 9.64, 0.55
+#: Prefixes that a query looks under in each tree, at least and at most; coordinates of a digit that count as near.
+FEWEST, PROBES, NEAR = 2, 96, 16
 SEED = 20
 #: Sorted rows of a range, about.
 RANGE_ROWS = 200_000
@@ -60,7 +62,7 @@ def _plan(n: int, size: int, enough: int, trees: int) -> tuple[int, int]:
     digits = 1
     while (digits + 1) * _digit_bits(size) <= BITS and probes(digits + 1) <= PROBES:
         digits += 1
-    return digits, max(1, min(PROBES, round(probes(digits))))
+    return digits, max(FEWEST, min(PROBES, math.ceil(probes(digits))))
 
 
 def _digit_bits(size: int) -> int:
@@ -166,10 +168,11 @@ def _runs(levels: list[int]):
     return rows
 
 
-def _dealt(bounds: list[tuple[int, int, int]], levels: list[int], digits: int, probes: int, seed: int):
+def _dealt(bounds: list[tuple[int, int, int]], levels: list[int], digits: int, probes: int, seed: int, looked: int):
     """Rows and searched rows for each range: part, tree, whether a row, string, first strings and length of the prefixes looked under, id, vector.
 
-    bounds: the first row of each range. A searched row goes to all ranges that its prefixes can lie in, once to each.
+    bounds: the first row of each range. A searched row goes to all ranges that its prefixes can lie in, once to each. looked: the
+    first so many trees are dealt; one is enough for the root.
     """
     trees = np.array([b[0] for b in bounds])
     by_tree = {}
@@ -224,7 +227,7 @@ def _dealt(bounds: list[tuple[int, int, int]], levels: list[int], digits: int, p
                 some = batch.slice(at, 1024)
                 hs, searched = _matrix(some.column(3)), some.column(1)[0].as_py() >= 0
                 prefixes = _hashes(_units(some.column(2)), hs.shape[1], seed, digits, probes)[1] if searched else None
-                for tree in range(hs.shape[1]):
+                for tree in range(looked):
                     found = of_searched(some, tree, hs[:, tree], prefixes[:, tree]) if searched else of_rows(some, tree, hs[:, tree])
                     if found is not None:
                         yield found
@@ -312,7 +315,6 @@ def _nearest(valid: DataFrame, asked: DataFrame, size: int, k: int, trees: int,
 
     kind, n = distinct.schema["v"].dataType.simpleString(), distinct.count()
     enough = 2 * window * trees if window else int(SHARE * n**POWER)
-    whole = n <= LEAST and not window
     digits, probes = _plan(n, size, enough, trees)
     levels = _levels(size, digits)
     hashed = staged(distinct.select("rep", "wanted", "v").mapInArrow(_hashed(trees, seed, digits), f"id long, wanted boolean, v {kind}, hs array<long>"), "hashed-vectors")
@@ -323,27 +325,42 @@ def _nearest(valid: DataFrame, asked: DataFrame, size: int, k: int, trees: int,
     bounds = sorted((r.tree, r.prefix, r.q) for r in runs.where("level < 0").collect())
     shared = runs.where("q is null").groupBy("tree", "level", "prefix").agg(F.sum("n").alias("n"))
     counted = runs.where("q is not null and level >= 0").select("q", "tree", "level", "prefix").join(shared, ["tree", "level", "prefix"])
-    climbed = counted.groupBy("q", "level").agg(F.sum("n").alias("n")).groupBy("q").agg(F.greatest(F.coalesce(F.max(F.when(F.col("n") >= enough, F.col("level"))), F.lit(0)), F.lit(digits)).alias("level"))
-    if whole:
-        climbed = climbed.withColumn("level", F.lit(0))
-    dealt = f"part int, tree int, row boolean, low long, lows array<long>, width long, id long, v {kind}"
-    deal = _dealt(bounds, levels, digits, probes, seed)
-    searched = hashed.where("wanted").join(climbed, F.col("id") == F.col("q")).select("id", "level", "v", "hs").mapInArrow(deal, dealt)
-    spread = hashed.select("id", F.lit(-1).alias("level"), "v", "hs").mapInArrow(deal, dealt).union(searched)
-    sorted_parts = spread.repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", "tree", "row", "low")
-    met = sorted_parts.mapInArrow(_met(k + 1), "q long, id long, score double")
+    counts = counted.groupBy("q", "level").agg(F.sum("n").alias("n"))
+
+    def climbed(rows_met: int):
+        """Each query's longest prefixes that hold so many rows over all trees, or the root."""
+        return F.coalesce(F.max(F.when(F.col("n") >= rows_met, F.col("level"))), F.lit(0))
 
     def first(frame: DataFrame, by: str, most: int, *order) -> DataFrame:
         ranked = frame.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
         return ranked.where(F.col("rank") <= most)
 
-    # One more than asked for: a query's own row is among them.
-    best = first(met.distinct(), "q", k + 1, F.desc("score"), "id").select("q", F.col("id").alias("rep"), "score")
     # Of equal vectors only the k + 1 smallest ids can be among the k nearest.
     least = Window.partitionBy("v").orderBy("id")
     members = rows.select("id", "v").distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
     members = members.join(distinct.select("v", "rep"), "v").select("rep", "id")
-    expanded = staged(first(best.join(members, "rep"), "q", k + 1, F.desc("score"), "id").select("q", "id", "score"), "nearest")
+    dealt = f"part int, tree int, row boolean, low long, lows array<long>, width long, id long, v {kind}"
+
+    def met(asking: DataFrame, looked: int = trees) -> DataFrame:
+        """(q, id, score): the best ids met by these queries (q, level)."""
+        deal = _dealt(bounds, levels, digits, probes, seed, looked)
+        searched = hashed.where("wanted").join(asking, F.col("id") == F.col("q")).select("id", "level", "v", "hs").mapInArrow(deal, dealt)
+        spread = hashed.select("id", F.lit(-1).alias("level"), "v", "hs").mapInArrow(deal, dealt).union(searched)
+        sorted_parts = spread.repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", "tree", "row", "low")
+        scored = sorted_parts.mapInArrow(_met(k + 1), "q long, id long, score double")
+        # One more than asked for: a query's own row is among them.
+        best = first(scored.distinct(), "q", k + 1, F.desc("score"), "id").select("q", F.col("id").alias("rep"), "score")
+        return staged(first(best.join(members, "rep"), "q", k + 1, F.desc("score"), "id").select("q", "id", "score"), "nearest")
+
+    expanded = met(counts.groupBy("q").agg(F.greatest(climbed(enough), F.lit(digits)).alias("level")))
+    higher = counts.where(F.col("level") < digits).groupBy("q").agg(climbed((k + 1) * trees).alias("level"))
+    for rooted in (False, True) if digits > 1 else (True,):
+        few = hashed.where("wanted").select(F.col("id").alias("q")).join(expanded.groupBy("q").agg(F.count("*").alias("found")), "q", "left")
+        few = staged(few.where(F.coalesce("found", F.lit(0)) <= k).select("q"), "few-found")
+        if few.isEmpty():
+            break
+        more = met(few.withColumn("level", F.lit(0)), 1) if rooted else met(few.join(higher, "q"))
+        expanded = expanded.join(few, "q", "left_anti").union(more)
     queried = rows.where("asked").select("id", "v").distinct().join(distinct.select("v", "rep"), "v").select(F.col("id").alias("query_id"), F.col("rep").alias("q"))
     pairs = queried.join(expanded, "q").where("query_id != id")
     return first(pairs, "query_id", k, F.desc("score"), "id").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
