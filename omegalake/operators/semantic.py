@@ -95,7 +95,8 @@ def filter_formulas(formulas: DataFrame, text: str = "LTL", pos: str = "pos", mo
     reason is that it is trivial is tried again in its simplified form. A formula is redundant if an
     earlier accepted one has the same key. Each distinct formula is measured once; those that don't parse, and null ones, go.
     """
-    distinct = formulas.select(F.col(text).alias("formula")).distinct().withColumn("m", ltl_metrics("formula")).where("not m.parse_error")
+    # Staged, so that the filter doesn't measure each row's formula.
+    distinct = staged(formulas.select(F.col(text).alias("formula")).distinct().withColumn("m", ltl_metrics("formula")), "measured").where("not m.parse_error")
     key = F.col("m.rendered") if mode == "exact" else F.col("m.normalized")
     reasons = F.array_compact(F.array(F.when(F.col("m.is_trivial"), F.lit("trivial")), F.when(F.lit(temporal) & ~F.col("m.is_temporal"), F.lit("non_temporal")), F.when(F.col("m.looks_unsatisfiable"), F.lit("unsatisfiable"))))
     own = distinct.select("formula", key.alias("key"), reasons.alias("own"), F.col("m.selected").alias("selected"), F.col("m.simplified").alias("simplified"))

@@ -15,6 +15,7 @@ from omegalake.functions import formulas as fm
 from omegalake.functions import lex
 from omegalake.logic import syntax
 from omegalake.operators import frames, sketches, temporal, variants
+from omegalake.plans.queries import QUERIES
 from omegalake.sources import readers, stored, translators, writers
 from omegalake.sources.json_ranges import JsonFiles
 
@@ -310,6 +311,14 @@ def test_native_measures_of_deep_formulas(spark):
     assert [x.m and tuple(x.m) for x in spark.createDataFrame(rows, "t string").select(lex.measures(F.col("t")).alias("m")).collect()] == [(1001, 1000, 1000), None, None, None]
 
 
+@pytest.mark.parametrize("name", ["q09_success_by_size_nnf", "q15_field_histograms", "q21_simplifiable_report"])
+def test_filters_do_not_judge_each_record(spark, sf_dir, name):
+    """A filter on what is found once for each distinct formula is not moved to before the grouping."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter " in line]
+    assert filters and not [f for f in filters if "aggregate(" in f or "pythonUDF" in f]
+
+
 @pytest.mark.parametrize("levels", [1000, 100_000])
 def test_deep_formulas_do_not_stop_a_job(spark, levels):
     df = spark.createDataFrame([("F(" * levels + "prop_1" + ")" * levels,), ("G(prop_1)",)], "LTL string")
