@@ -129,10 +129,10 @@ _BATCHES = 4
 
 
 def _streamed(spark, log, label):
-    """The log as a stream of files, in an order that is not its own."""
-    path = fresh_path(spark, label)
-    log.repartition(_BATCHES, F.xxhash64("pos")).write.parquet(path)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """The log as a stream of files, in an order that is not its own; a batch has a file for each core."""
+    path, files = fresh_path(spark, label), max(1, spark.sparkContext.defaultParallelism)
+    log.repartition(_BATCHES * files, F.xxhash64("pos")).write.parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER ({_OK}) AS success, count(*) AS entries, count(DISTINCT pos) AS different FROM results")

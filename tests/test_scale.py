@@ -1,6 +1,7 @@
 """What lets the library work on any size: ranges of files, exact draws, joins in time, frames, summaries, stored datasets, streams."""
 
 import collections
+import functools
 import json
 import math
 import os
@@ -14,10 +15,12 @@ from omegalake import shared
 from omegalake.functions import formulas as fm
 from omegalake.functions import lex
 from omegalake.logic import syntax
-from omegalake.operators import frames, sketches, temporal, variants
+from omegalake.operators import frames, keyed, sketches, temporal, variants
+from omegalake.plans import events
 from omegalake.plans.queries import QUERIES
 from omegalake.sources import readers, stored, translators, writers
 from omegalake.sources.json_ranges import JsonFiles
+from omegalake.streaming import best
 
 
 # Files in ranges.
@@ -279,6 +282,36 @@ def test_a_service_says_how_long_to_wait(spark):
     assert translators.asked(df, service, wait=wait).first().raw_model_output == "yes"
 
 
+# The best entries of a stream.
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_best_entries_of_a_stream(spark, tmp_path, late):
+    """Equal to the best entries of the table; no row goes through Python unless entries can be late."""
+    r = random.Random(5)
+    rows = [(r.choice([None, "a", "b", "c"]), r.choice([None, False, True]), r.choice([None, "ok", "error"]), k) for k in range(400)]
+    schema = "key string, equivalent boolean, status string, pos long"
+    log = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    stream = events._streamed(spark, log, "best-test")
+    name, provider = best.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        out = best.best_entries(stream, ["key"], **({"time": "at", "watermark": "1 day"} if late else {}))
+        write = functools.partial(events._written, str(tmp_path / "out"))
+        query = out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    progress = [p for p in query.recentProgress if p.numInputRows]
+    assert len(progress) == events._BATCHES and sum(p.numInputRows for p in progress) == 400
+    assert {o.operatorName for p in progress for o in p.stateOperators} == {"transformWithStateInPySparkExec" if late else "stateStoreSave"}
+    columns = ["key", "equivalent", "status", "pos"]
+    got = keyed.latest_per_key(spark.read.parquet(str(tmp_path / "out")), ["key"], "batch").select(*columns).collect()
+    want = keyed.best_per_key(log, ["key"]).select(*columns).collect()
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 4
+
+
 # Formulas of any depth.
 
 
