@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import threading
 
 from pyspark.sql import functions as F
@@ -129,10 +130,12 @@ _BATCHES = 4
 
 
 def _streamed(spark, log, label):
-    """The log as a stream of files, in an order that is not its own; a batch has a file for each core."""
-    path, files = fresh_path(spark, label), max(1, spark.sparkContext.defaultParallelism)
-    log.repartition(_BATCHES * files, F.xxhash64("pos")).write.parquet(path)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(path)
+    """The log as a stream of files, in an order that is not its own; a batch has about a file for each core."""
+    path = fresh_path(spark, label)
+    log.repartition(_BATCHES * spark.sparkContext.defaultParallelism, F.xxhash64("pos")).write.parquet(path)
+    # However many files were written, they make no more batches than that.
+    files = len(spark.read.schema(log.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, math.ceil(files / _BATCHES))).parquet(path)
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER ({_OK}) AS success, count(*) AS entries, count(DISTINCT pos) AS different FROM results")
