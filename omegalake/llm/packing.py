@@ -181,7 +181,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 1024, key: str =
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_A_STEP):
                 some, rows = batch.slice(at, TEXTS_A_STEP), []
-                for k, data in zip(some.column(0).to_pylist(), own_encoder.encode(some.column(1).to_pylist())):
+                for k, data in zip(some.column(0).to_pylist(), own_encoder.encode(some.column(1))):
                     data += end
                     n = len(data) // 4
                     ends = range((n - 1) % size + 1, n + 1, size)

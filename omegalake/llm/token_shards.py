@@ -141,7 +141,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_A_STEP):
                 some = batch.slice(at, TEXTS_A_STEP)
-                for k, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                for k, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     keys.append(k)
                     lists.append(ids + end)
                     held += len(ids) // 4 + 1
