@@ -5,8 +5,11 @@ Nothing here relies on the order of rows; order comes in as a column (``pos``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..shared import staged
@@ -16,23 +19,34 @@ def _row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def _pick(df: DataFrame, keys: list[str], best: Column) -> DataFrame:
-    """Partial aggregation on both sides of the shuffle: a hot key costs each task one row."""
-    return df.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
+#: Types (and plain strings) whose equal values look alike. Numbers with a sign of zero, and strings compared by a collation, do not.
+_ALIKE = (T.IntegralType, T.BooleanType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
+
+def _pick(df: DataFrame, keys: list[str], best: Callable[[Column, Column], Column], order: Column) -> DataFrame:
+    """Partial aggregation on both sides of the shuffle: a hot key costs each task one row.
+
+    Keys whose equal values look alike are read from the group, so that they travel once and not again within the row.
+    """
+    alike = {f.name for f in df.schema if f.name in keys and (isinstance(f.dataType, _ALIKE) or f.dataType == T.StringType())}
+    others = [c for c in df.columns if c not in alike] or df.columns
+    picked = df.groupBy(*keys).agg(best(F.struct(*(F.col(f"`{c}`") for c in others)), order).alias("_row"))
+    # Where no row has an order none is picked, and its keys are null like the rest.
+    return picked.select(*(F.when(F.col("_row").isNotNull(), F.col(f"`{c}`")).alias(c) if c in alike else F.col(f"_row.`{c}`") for c in df.columns))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    return _pick(df, keys, F.max_by(_row(df), pos))
+    return _pick(df, keys, F.max_by, F.col(pos))
 
 
 def first_per_key(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    return _pick(df, keys, F.min_by(_row(df), pos))
+    return _pick(df, keys, F.min_by, F.col(pos))
 
 
 def best_per_key(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Equivalent before ok before later rows."""
     merit = F.struct(F.coalesce("equivalent", F.lit(False)), F.coalesce(F.col("status") == "ok", F.lit(False)), F.col(pos))
-    return _pick(df, keys, F.max_by(_row(df), merit))
+    return _pick(df, keys, F.max_by, merit)
 
 
 def dataset_index(df: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:

@@ -84,6 +84,27 @@ def test_keyed_edges(spark):
     assert {r.id for r in keyed.not_done(tasks, log, ["id"]).collect()} == {1, 3}
 
 
+def test_keys_travel_once(spark):
+    df = spark.createDataFrame([(1, "a", 0.5, "x", 1)], "id int, field string, ratio double, v string, pos long")
+    for picked in (keyed.latest_per_key(df, ["field", "id"]), keyed.first_per_key(df, ["id", "field"]), keyed.best_per_key(df.selectExpr("id", "field", "v as status", "true as equivalent", "pos"), ["id", "field"])):
+        plan = picked._jdf.queryExecution().optimizedPlan().toString()
+        assert "pos, pos#" in plan and "id, id#" not in plan and "field, field#" not in plan
+    assert "ratio, ratio#" in keyed.latest_per_key(df, ["ratio"])._jdf.queryExecution().optimizedPlan().toString()  # 0.0 and -0.0 are one key
+
+
+def test_odd_keys_and_orders(spark):
+    """Null keys are a key, repeated rows are one, zeros keep the sign of the row, and a key without any order gives a row of nulls."""
+    rows = [(None, None, 0.0, "x", 1), (None, None, -0.0, "y", 2), (None, None, -0.0, "y", 2), (1, None, 0.0, "z", None), (1, "", 1.0, "u", 3), (1, "", 1.0, None, 4), (None, "k", 2.0, "n", None)]
+    df = spark.createDataFrame(rows, "id int, field string, ratio double, v string, pos long")
+    shown = lambda found: sorted((tuple(r) for r in found.collect()), key=str)
+    keys = ["field", "id", "ratio"]
+    assert shown(keyed.latest_per_key(df, keys)) == sorted([(None, None, -0.0, "y", 2), (1, "", 1.0, None, 4), (None,) * 5, (None,) * 5], key=str)
+    assert shown(keyed.first_per_key(df, keys)) == sorted([(None, None, 0.0, "x", 1), (1, "", 1.0, "u", 3), (None,) * 5, (None,) * 5], key=str)
+    only = df.select("id", "pos")
+    assert keyed.latest_per_key(only, ["id", "pos"]).columns == ["id", "pos"] and shown(keyed.latest_per_key(only, ["id"])) == [(1, 4), (None, 2)]
+    assert shown(keyed.latest_per_key(only, ["id", "pos"])) == sorted([(1, 3), (1, 4), (None, 1), (None, 2), (None, None), (None, None)], key=str)
+
+
 def test_variants_replace_whole_names(spark):
     df = spark.createDataFrame([(1, "(prop_1 U prop_10)"), (2, "true"), (3, "(prop_1 & (prop_2 & prop_3))")], "id long, LTL string")
     got = variants.grounded_variants(df, ["red", "blue", "green"], 2).collect()
