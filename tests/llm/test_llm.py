@@ -425,6 +425,29 @@ def test_links_are_lossless(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_fingerprints_travel_instead_of_variants(spark):
+    """Every variant is made once, equal ones in one partition, and after the shuffle, which carries far fewer rows."""
+    r = random.Random(4)
+    values = [0, (1 << 64) - 1, 1 << 63, 7, *(r.getrandbits(64) for _ in range(8))]
+    nodes = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    made = simhash._variants(nodes, 7)
+    rows = made.select("v", "fp", F.spark_partition_id().alias("part")).collect()
+    masks = {0: simhash._FAR, 1: simhash._NEAR}
+    wanted = sorted((simhash._signed(v ^ m), simhash._signed(v)) for v in values for m in masks[v.bit_count() % 2])
+    assert sorted((x.v, x.fp) for x in rows) == wanted
+    parts = defaultdict(set)
+    for x in rows:
+        parts[x.v].add(x.part)
+    assert all(len(p) == 1 for p in parts.values()) and len({x.part for x in rows}) == 7
+    plan = simhash.links(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [v#" not in plan and plan.index("explode") < plan.index("RepartitionByExpression")
+    for partitions in (1, 8, 400, 20_000):
+        groups = simhash._bit_groups(partitions)
+        assert sum(groups) == (1 << 64) - 1 and sum(g.bit_count() for g in groups) == 64 and 1 << len(groups) >= partitions << simhash._SPARE
+        moves = [len({tuple((m & g).bit_count() % 2 for g in groups) for m in some}) for some in masks.values()]
+        assert sum(moves) * 5 < sum(map(len, masks.values()))
+
+
 def test_near_duplicates_edges(spark, awkward, empty):
     got = simhash.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
