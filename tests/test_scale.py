@@ -15,9 +15,9 @@ from omegalake import shared
 from omegalake.functions import formulas as fm
 from omegalake.functions import lex
 from omegalake.logic import syntax
-from omegalake.operators import frames, keyed, sketches, temporal, variants
+from omegalake.operators import frames, keyed, rates, sketches, temporal, variants
 from omegalake.plans import events
-from omegalake.plans.queries import QUERIES
+from omegalake.plans.queries import QUERIES, _measured
 from omegalake.sources import readers, stored, translators, writers
 from omegalake.sources.json_ranges import JsonFiles
 from omegalake.streaming import best
@@ -352,6 +352,23 @@ def test_filters_do_not_judge_each_record(spark, sf_dir, name):
     assert filters and not [f for f in filters if "aggregate(" in f or "pythonUDF" in f]
 
 
+def test_success_by_depth_measures_after_the_grouping(spark, sf_dir):
+    plan = QUERIES["q05_success_by_depth"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    judging = [k for k, line in enumerate(plan) if "Filter " in line and "aggregate(" in line]
+    assert judging and all(plan[k + 1].strip(" :+-").startswith("Aggregate [") for k in judging)
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_depths_of_odd_records(spark, filtered):
+    """Formulas that are null, or not well formed, have no depth, and repeated ids count again."""
+    formulas = spark.createDataFrame([(1, "F(a)"), (1, "F(a)"), (2, "G(F(a))"), (3, None), (4, "F("), (5, ""), (None, "F(a)"), (6, "F(a)")], "id long, LTL string")
+    assert sorted(((r.id, r.m and r.m.temporal_depth) for r in _measured(formulas, filtered).collect()), key=str) == sorted([(1, 1), (1, 1), (2, 2), (4, None), (5, None), (None, 1), (6, 1)], key=str)
+    entries = spark.createDataFrame([(k, "ok", True) for k in (1, 1, 2, 3, 4, 5, 7, None)] + [(6, None, None)], "record_id long, status string, equivalent boolean")
+    found = rates.by_bucket(entries, _measured(formulas, filtered), F.col("m.temporal_depth"), "depth")
+    assert sorted((r.depth, r.total, r.success) for r in found.collect()) == [(1, 5, 4), (2, 1, 1)]
+    assert _measured(formulas.where("false"), filtered).count() == 0
+
+
 @pytest.mark.parametrize("levels", [1000, 100_000])
 def test_deep_formulas_do_not_stop_a_job(spark, levels):
     df = spark.createDataFrame([("F(" * levels + "prop_1" + ")" * levels,), ("G(prop_1)",)], "LTL string")
